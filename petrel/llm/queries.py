@@ -11,12 +11,31 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the public vocabulary file lies on this machine; every executor has it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
     return mix(_read(spark, sf_dir, "documents")).drop("epochs")
 
 
+def op7_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import digest
+
+    return digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import round_trip
+
+    return round_trip(_read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
