@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -85,7 +86,7 @@ def pieces(batches, rows: int = BATCH_ROWS, most_bytes: int = 16 << 20, text: st
     """Arrow batches cut into slices of at most ``rows`` rows and about ``most_bytes`` bytes of text."""
     for batch in batches:
         at = 0
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0)) if len(batch) else []
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0)) if len(batch) else []
         while at < len(batch):
             ends = np.cumsum(sizes[at : at + rows])
             n = max(1, int(np.searchsorted(ends, most_bytes, "right")))

@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+from ..shipping import ship
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -24,6 +28,18 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents")).drop("epochs")
 
 
+def op1_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import digest
+
+    return digest(_read(spark, sf_dir, "pages"))
+
+
+def op3_warc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(_read(spark, sf_dir, "pages"))
+
+
 def op7_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import digest
 
@@ -41,6 +57,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import mixing
+    from . import line_dedup, mixing
 
-    return {"op6_source_mix": mixing.QUERY_SQL.format(documents="documents")}
+    return {"op1_site_lines": line_dedup.QUERY_SQL, "op6_source_mix": mixing.QUERY_SQL.format(documents="documents")}
