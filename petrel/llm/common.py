@@ -66,7 +66,7 @@ def publish(uri: str, write) -> None:
     folder, _, name = path.rpartition("/")
     system.create_dir(folder, recursive=True)
     hidden = f"{folder}/_{uuid.uuid4().hex}-{name}"
-    with system.open_output_stream(hidden) as out:
+    with system.open_output_stream(hidden, compression=None) as out:
         write(out)
     system.move(hidden, path)
 

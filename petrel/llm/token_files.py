@@ -35,7 +35,7 @@ from .common import filesystem, pick, pieces, publish, scratch
 
 MAGIC, END = b"PTOK0001", b"PTOKEND1"
 ENTRY = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("bytes", "<u4"), ("ids", "<u4")])
-FOOTER = struct.Struct("<QQQ8s")
+FOOTER = "<QQQ8s"
 #: The dictionary is trained on about this many documents, chosen by a hash of their ids, and is of at most this size.
 SAMPLE_DOCS, DICTIONARY_BYTES = 1500, 64 << 10
 #: Bytes of text that one file takes, about.
@@ -160,7 +160,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, file_by
                     at += len(frame)
                     ids += len(got)
             out.write(zstandard.ZstdCompressor().compress(np.array(rows, ENTRY).tobytes()))
-            out.write(FOOTER.pack(at, len(rows), ids, END))
+            out.write(struct.pack(FOOTER, at, len(rows), ids, END))
 
         publish(f"{folder}/{name}", body)
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(rows)], pa.int64()), pa.array([ids], pa.int64())], ["file", "docs", "ids"])
@@ -177,14 +177,14 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, file_by
 
 def _index(source, size: int) -> tuple[np.ndarray, bytes]:
     """(index, dictionary id) of an open file of ``size`` bytes."""
-    source.seek(size - FOOTER.size)
-    at, docs, _, end = FOOTER.unpack(source.read(FOOTER.size))
+    source.seek(size - struct.calcsize(FOOTER))
+    at, docs, _, end = struct.unpack(FOOTER, source.read(struct.calcsize(FOOTER)))
     source.seek(0)
     head = source.read(len(MAGIC) + 32)
     if end != END or head[: len(MAGIC)] != MAGIC:
         raise ValueError("not a complete token file")
     source.seek(at)
-    index = np.frombuffer(zstandard.ZstdDecompressor().decompress(source.read(size - FOOTER.size - at)), ENTRY)
+    index = np.frombuffer(zstandard.ZstdDecompressor().decompress(source.read(size - struct.calcsize(FOOTER) - at)), ENTRY)
     if len(index) != docs:
         raise ValueError("the index does not match the footer")
     return index, head[len(MAGIC) :]
@@ -192,7 +192,7 @@ def _index(source, size: int) -> tuple[np.ndarray, bytes]:
 
 def _dictionary(folder: str, key: bytes) -> bytes:
     system, path = filesystem(f"{folder}/{key.hex()}.dict")
-    with system.open_input_stream(path) as f:
+    with system.open_input_stream(path, compression=None) as f:
         found = f.read()
     if hashlib.sha256(found).digest() != key and any(key):
         raise ValueError("the dictionary's hash differs from the file's")
