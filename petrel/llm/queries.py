@@ -34,12 +34,24 @@ def op1_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(_read(spark, sf_dir, "pages"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import predict
+
+    return predict(_read(spark, sf_dir, "documents"))
+
+
 def op3_warc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
     return round_trip(_read(spark, sf_dir, "pages"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import predict
+
+    return predict(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op7_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import digest
 
