@@ -58,6 +58,12 @@ def op7_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op8_top_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .maxscore import every, top_k
+
+    return top_k(_read(spark, sf_dir, "embeddings"), every())
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import round_trip
 
@@ -69,6 +75,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import line_dedup, mixing
+    from . import line_dedup, maxscore, mixing
 
-    return {"op1_site_lines": line_dedup.QUERY_SQL, "op6_source_mix": mixing.QUERY_SQL.format(documents="documents")}
+    return {"op1_site_lines": line_dedup.QUERY_SQL, "op6_source_mix": mixing.QUERY_SQL.format(documents="documents"), "op8_top_vectors": maxscore.QUERY_SQL}
