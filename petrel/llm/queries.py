@@ -70,6 +70,12 @@ def op8_top_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_read(spark, sf_dir, "embeddings"), every())
 
 
+def op9_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import digest
+
+    return digest(_read(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import round_trip
 
