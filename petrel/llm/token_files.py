@@ -20,6 +20,7 @@ of the input are ignored.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import struct
 import zlib
@@ -27,6 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,48 +44,98 @@ SAMPLE_DOCS, DICTIONARY_BYTES = 1500, 64 << 10
 FILE_BYTES = 64 << 20
 LEVEL = 3
 #: Chunks whose ids one Python worker remembers before it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 #: A tokenizer that splits on white space as byte-level BPE does cuts no id across these chunks.
 CHUNKS = re.compile(r"\s+(?!\S)| ?\S+|\s")
+#: White space at an end of the text or next to other white space.
+EDGES = re.compile(r"^\s|\s\s|\s\Z")
+#: How byte-level BPE cuts a text before merging (fixed by the tokenizer).
+PIECES = regex.compile(r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: What Python takes for white space and the tokenizer does not, and the text of the tokenizer's special token.
 WHOLE = re.compile(r"[\x1c-\x1f]|<\|endoftext\|>")
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letter that byte-level BPE writes for each byte: printable ones stand for themselves, the rest follow from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 0x100 + k for k, b in enumerate(others)}
+
+
+def _packed(ids) -> bytes:
+    return np.array(ids, "<u4").tobytes()
+
+
+class _Pieces(dict):
+    """Piece of a chunk -> its ids as bytes, by the tokenizer's model alone. A full memory takes up nothing more."""
+
+    def __init__(self, model):
+        self.model, self.letters = model, _byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = _packed([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
+        if len(self) < REMEMBERED:
+            self[piece] = ids
+        return ids
+
+
+class _Chunks(dict):
+    """Chunk -> its ids as bytes. Chunks beyond Latin letters, on which libraries may differ, are cut by the tokenizer itself."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.pieces = tokenizer, _Pieces(tokenizer.model)
+
+    def __missing__(self, chunk: str) -> bytes:
+        if max(chunk) < "\u0250":
+            ids = b"".join(map(self.pieces.__getitem__, PIECES.findall(chunk)))
+        else:
+            ids = _packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+        if len(self) < REMEMBERED:
+            self[chunk] = ids
+        return ids
+
+
+class _Words(dict):
+    """What follows a single space, up to the next one -> the ids of the space and it, as bytes."""
+
+    def __init__(self, chunks: _Chunks):
+        self.chunks = chunks
+
+    def __missing__(self, word: str) -> bytes:
+        found = CHUNKS.findall(" " + word)
+        ids = b"".join(map(self.chunks.__getitem__ if len(found) > 1 else self.chunks.__missing__, found))
+        if len(found) == 1 and len(self) < REMEMBERED:
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, with a bounded memory of the chunks between white space.
 
     Byte-level BPE first cuts a text by a pattern none of whose pieces goes on from a word into the white space after
-    it, so the ids of a text are those of its chunks in turn. Texts in which Python's notion of white space or a special token would
-    matter are encoded in one call.
+    it, so the ids of a text are those of its chunks in turn. Texts in which Python's notion of white space or a special
+    token would matter are encoded in one call.
     """
 
     def __init__(self, path: str):
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
+        self.chunks = _Chunks(self.tokenizer)
+        self.words = _Words(self.chunks)
 
-    def __call__(self, text: str | None, end_id: int) -> np.ndarray:
+    def __call__(self, text: str | None, end_id: int) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers, the end id last."""
+        end = _packed([end_id])
         if not text:
-            return np.array([end_id], "<u4")
+            return end
         if WHOLE.search(text):
-            return np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, end_id], "<u4")
-        chunks, known = CHUNKS.findall(text), self.known
-        new = [c for c in set(chunks) if c not in known]
-        if new:
-            if len(known) > REMEMBERED:
-                known.clear()
-                new = list(set(chunks))
-            for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[c] = e.ids
-        ids: list[int] = []
-        for c in chunks:
-            ids += known[c]
-        ids.append(end_id)
-        return np.array(ids, "<u4")
+            return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids) + end
+        if EDGES.search(text):
+            return b"".join(map(self.chunks.__getitem__, CHUNKS.findall(text))) + end
+        first, *words = text.split(" ")  # every space stands alone between two words
+        return b"".join([*map(self.chunks.__getitem__, CHUNKS.findall(first)), *map(self.words.__getitem__, words), end])
 
 
 def _strings(column: pa.Array) -> list[str | None]:
@@ -105,7 +157,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int = 0, sample_do
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = Encoder(tokenizer)
         for b in pieces(batches):
-            out = [e(t, end_id).tobytes()[: 64 << 10] for t in _strings(b.column("text"))]
+            out = [e(t, end_id)[: 64 << 10] for t in _strings(b.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
 
     samples = sorted(bytes(r.ids) for r in chosen.mapInArrow(encode, "ids binary").limit(4 * sample_docs).collect())
@@ -154,11 +206,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, file_by
             for b in pieces((x for part in ([first], batches) for x in part)):
                 for doc, text in zip(b.column("doc_id").to_pylist(), _strings(b.column("text")), strict=True):
                     got = encode(text, end_id)
-                    frame = compress(got.tobytes())
+                    frame = compress(got)
                     out.write(frame)
-                    rows.append((doc or 0, doc is None, at, len(frame), len(got)))
+                    rows.append((doc or 0, doc is None, at, len(frame), len(got) // 4))
                     at += len(frame)
-                    ids += len(got)
+                    ids += len(got) // 4
             out.write(zstandard.ZstdCompressor().compress(np.array(rows, ENTRY).tobytes()))
             out.write(struct.pack(FOOTER, at, len(rows), ids, END))
 
