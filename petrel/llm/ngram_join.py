@@ -33,8 +33,10 @@ from .common import LOWER, WordHashes, encoded, materialise, mixed, ngrams, pick
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
-#: The longest extension of a prefix that is considered.
-MOST_MATCHES = 8
+#: The most matches that a document may ask for; its prefix grows by one run for each.
+MOST_MATCHES = 128
+#: One in so many runs, by hash, is counted exactly, to learn how many other documents hold a run that is not frequent.
+COUNTED = 64
 #: Min-hash keys a document, and how many two documents share before a star verifies them.
 KEYS, SHARED_KEYS = 16, 4
 #: A run counts as frequent from this share of documents on; there are at most (mean set size / FREQUENT) such runs.
@@ -51,51 +53,59 @@ def shingles(text: bytes | None, hashes: WordHashes) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=1)] if words else [], np.uint64)
 
 
-def frequent_runs(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, document counts) of frequent runs, from all documents; copies that lie together count once."""
+def run_statistics(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    """(sorted hashes of frequent runs, their document counts, other documents that hold a run which is not frequent).
+
+    From all documents; copies that lie together count once.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in pieces(batches, rows=4000):
             own = {u.tobytes(): u for u in (shingles(t, hashes) for t in encoded(b.column("text")))}
             runs, n = np.unique(np.concatenate([*own.values(), np.empty(0, np.uint64)]), return_counts=True)
-            keep = n >= 3
+            keep = (n >= 3) | (runs % np.uint64(COUNTED) == 0)
             yield pa.RecordBatch.from_arrays([pa.array(runs[keep].view(np.int64)), pa.array(n[keep])], ["run", "n"])
 
-    total = docs.count()
+    limit = max(3.0, docs.count() * FREQUENT)
     seen = docs.select("text").mapInArrow(count, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
-    found = seen.where(F.col("n") >= max(3.0, total * FREQUENT)).orderBy(F.desc("n"), "run").limit(MOST_FREQUENT).toArrow()
+    seen = materialise(seen, "ngram-runs")
+    found = seen.where(F.col("n") >= limit).orderBy(F.desc("n"), "run").limit(MOST_FREQUENT).toArrow()
+    rare = seen.where((F.col("n") < limit) & (F.col("run").bitwiseAND(F.lit(COUNTED - 1)) == 0))
+    others = rare.agg(F.sum(F.col("n") * (F.col("n") - 1)) / F.sum("n")).first()[0]
     runs, n = np.asarray(found["run"]).astype(np.int64).view(np.uint64), np.asarray(found["n"]).astype(np.int64)
     order = np.argsort(runs)
-    return runs[order], n[order]
+    return runs[order], n[order], float(others or 0)
+
 
+def prefix_of(runs: np.ndarray, frequent: np.ndarray, counts: np.ndarray, others: float) -> tuple[np.ndarray, int]:
+    """(prefix, l): the l-prefix of the least estimated cost, in the global order (frequency, hash).
 
-def prefix_of(runs: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
-    """(prefix, l): the l-prefix of the least estimated cost, in the global order (frequency, hash)."""
+    The cost, in postings: those written, those read (the other documents of each run), and candidates verified, of which
+    there are at most (postings read) / l, at a cost that follows the document's length.
+    """
     n = len(runs)
-    often = np.ones(n, np.int64)
+    often = np.zeros(n)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, runs), len(frequent) - 1)
-        often = np.where(frequent[at] == runs, counts[at], 1)
+        often = np.where(frequent[at] == runs, counts[at], 0)
     order = np.lexsort((runs, often))
     need = -(-PERCENT * n // 100)
     longest = n - need + min(MOST_MATCHES, need)
-    postings = np.cumsum(often[order[:longest]] - 1)
+    read = np.cumsum(np.where(often > 0, often - 1, others)[order[:longest]])
     lengths = np.arange(n - need + 1, longest + 1)
-    scanned = postings[lengths - 1]
     matches = lengths - (n - need)
-    cost = lengths + scanned * (1 + max(4, n / 8) / matches)  # postings written, read, and documents verified
+    cost = lengths + read[lengths - 1] * (1 + max(4, n / 8) / matches)
     best = int(np.argmin(cost))
     return runs[order[: lengths[best]]], int(matches[best])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, n, a, b, matches, prefix, keys) of each document."""
-    frequent, counts = frequent_runs(docs)
-    shared = docs.sparkSession.sparkContext.broadcast((frequent, counts))
+    shared = docs.sparkSession.sparkContext.broadcast(run_statistics(docs))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, counts = shared.value
+        statistics = shared.value
         hashes = WordHashes()
         bins = np.uint64(KEYS)
         for b in pieces(batches):
@@ -104,7 +114,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 u = shingles(t, hashes)
                 sizes.append(len(u))
                 prints.append(np.frombuffer(xxhash.xxh3_128_digest(u.tobytes()), np.int64))
-                p, m = prefix_of(u, frequent, counts) if len(u) else (u, 0)
+                p, m = prefix_of(u, *statistics) if len(u) else (u, 0)
                 matches.append(m)
                 prefixes.append(p)
                 x = np.sort(mixed(u ^ np.uint64(0x5BD1E995)))
@@ -146,22 +156,30 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return materialise(with_both.select("a", "text", "b", "other").mapInArrow(check, "a long, b long").distinct(), "ngram-links")
 
 
+def _alike(n: str, m: str):
+    """Whether sets of these sizes can link."""
+    return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
+
+
 def star_pairs(keyed: DataFrame) -> DataFrame:
-    """(a, b): each document of a key and the smallest of the key, if they share enough keys. ``keyed``: (doc_id, keys)."""
-    each = keyed.select("doc_id", F.explode("keys").alias("key"))
-    centre = each.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("key", "a")
-    pairs = each.join(centre, "key").where("doc_id > a").groupBy("a", F.col("doc_id").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    return pairs.where(F.col("n") >= SHARED_KEYS)
+    """(a, b): each document of a key and the smallest of the key, if they share enough keys. ``keyed``: (doc_id, n, keys)."""
+    each = keyed.select("doc_id", "n", F.explode("keys").alias("key"))
+    centre = each.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("c"), F.max("doc_id").alias("z")).where("c.doc_id < z")
+    met = each.join(centre.select("key", F.col("c.doc_id").alias("a"), F.col("c.n").alias("m")), "key").where((F.col("doc_id") > F.col("a")) & _alike("n", "m"))
+    return met.groupBy("a", F.col("doc_id").alias("b")).agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= SHARED_KEYS)
 
 
 def prefix_pairs(prefixed: DataFrame) -> DataFrame:
-    """(a, b): documents of different components whose prefixes share enough runs. ``prefixed``: (doc_id, component, matches, prefix)."""
-    post = prefixed.select("doc_id", "component", "matches", F.explode("prefix").alias("run"))
-    left, right = (post.select("run", *[F.col(c).alias(c + side) for c in ("doc_id", "component", "matches")]) for side in ("_a", "_b"))
-    met = left.join(right, "run").where("doc_id_a < doc_id_b and component_a <> component_b")
+    """(a, b): documents of different components whose prefixes share enough runs.
+
+    ``prefixed``: (doc_id, component, n, matches, prefix).
+    """
+    post = prefixed.select("doc_id", "component", F.col("n").cast("int").alias("n"), "matches", F.explode("prefix").alias("run"))
+    left, right = (post.select("run", *[F.col(c).alias(c + side) for c in ("doc_id", "component", "n", "matches")]) for side in ("_a", "_b"))
+    met = left.join(right, "run").where((F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b")) & _alike("n_a", "n_b"))
     need = F.min(F.least("matches_a", "matches_b"))
-    pairs = met.groupBy(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).agg(F.count(F.lit(1)).alias("n"), need.alias("need"))
-    return pairs.where("n >= need")
+    pairs = met.groupBy(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).agg(F.count(F.lit(1)).alias("shared"), need.alias("need"))
+    return pairs.where("shared >= need")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -176,10 +194,10 @@ def join(docs: DataFrame) -> DataFrame:
     same_id = of_class.join(own, "doc_id").where("class_id <> b").select(F.col("class_id").alias("a"), "b")
 
     heads = classes.select(F.col("class_id").alias("doc_id")).distinct()
-    stars = verified(star_pairs(named.select("doc_id", "keys").join(heads, "doc_id", "left_semi")), d)
+    stars = verified(star_pairs(named.select("doc_id", "n", "keys").join(heads, "doc_id", "left_semi")), d)
     found = components(stars, "ngram-stars")
     labelled = heads.join(found, heads.doc_id == found.node, "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
-    links = verified(prefix_pairs(named.select("doc_id", "matches", "prefix").join(labelled, "doc_id")), d)
+    links = verified(prefix_pairs(named.select("doc_id", "n", "matches", "prefix").join(labelled, "doc_id")), d)
 
     final = components(stars.union(links).union(same_id.select("a", "b")), "ngram-components")
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), "a", "b").join(classes, ["a", "b"], "left")
