@@ -1,0 +1 @@
+"""Object-centric event-log analytics as declarative PySpark plans."""
