@@ -79,6 +79,15 @@ def pick(df: DataFrame, **types: str) -> DataFrame:
     return df.select(*[(F.col(f"`{c}`") if c in have else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
 
 
+def pick_with_row(df: DataFrame, **types: str) -> DataFrame:
+    """``pick``, and the whole row of ``df`` in a struct ``row``, which no name in it can clash with."""
+    from pyspark.sql import functions as F
+
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    have = set(df.columns)
+    return whole.select("row", *[(F.col(f"row.`{c}`") if c in have else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
+
+
 # ---------------------------------------------------------------- texts in Arrow batches
 
 

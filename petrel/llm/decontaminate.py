@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import encoded, pick, pieces
+from .common import encoded, pick, pick_with_row, pieces
 
 WINDOW = 10
 #: One automaton has at most about this many words of items; a larger benchmark is split into several, one after another.
@@ -171,15 +172,18 @@ def spans_of(hit: bytes | bytearray) -> list[tuple[int, int]]:
 _LOADED: dict[tuple[str, int], Automaton] = {}
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with n_words, n_hit, items (sorted strings) and spans (start, length) in place of other columns.
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, whole_rows: bool = False) -> DataFrame:
+    """Per document: doc_id, text, n_words, n_hit, items (sorted strings), spans (start, length), and, if asked for, its
+    row of ``docs`` as ``row``.
 
     One pass over the documents for all automata: no shuffle, and the only thing sent to the executors is the items.
     """
     spark = docs.sparkSession
     lists = [spark.sparkContext.broadcast(x) for x in automata(benchmark, window)]
-    d = pick(docs, doc_id="long", text="string")
-
+    d = (pick_with_row if whole_rows else pick)(docs, doc_id="long", text="string")
+    schema = StructType.fromDDL("doc_id long, text string, n_words long, n_hit long, items array<string>, spans array<struct<start:long,length:long>>")
+    if whole_rows:
+        schema = schema.add("row", d.schema["row"].dataType)
     token = uuid.uuid4().hex
 
     def load(k: int) -> Automaton:
@@ -205,11 +209,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
                     pa.array([sum(h) for h in hits], pa.int64()),
                     pa.array([sorted(map(str, f)) for f in found], pa.list_(pa.string())),
                     pa.array([[{"start": s, "length": n} for s, n in x] for x in spans], pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))),
+                    *([b.column("row")] if whole_rows else []),
                 ],
-                ["doc_id", "text", "n_words", "n_hit", "items", "spans"],
+                ["doc_id", "text", "n_words", "n_hit", "items", "spans", *(["row"] if whole_rows else [])],
             )
 
-    return d.mapInArrow(run, "doc_id long, text string, n_words long, n_hit long, items array<string>, spans array<struct<start:long,length:long>>")
+    return d.mapInArrow(run, schema)
 
 
 def remove(text: str, spans: list[tuple[int, int]], least: int = SPAN_WORDS) -> str:

@@ -23,8 +23,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import encoded, pick, pieces
+from .common import encoded, pick, pick_with_row, pieces
 from .sampling import class_sample, collected
 
 PER_LANGUAGE, MOST_LANGUAGES, MOST_SAMPLE = 500, 64, 8000
@@ -129,10 +130,13 @@ def learn(docs: DataFrame) -> Model:
     return train(*collected(sample, "lang", lambda b: ngram_features(encoded(pc.utf8_lower(b.column("text")))), MOST_SAMPLE))
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """Per document: doc_id, held_out, lang_pred, score, ambiguous."""
+def identify(docs: DataFrame, model: Model, whole_rows: bool = False) -> DataFrame:
+    """Per document: doc_id, held_out, lang_pred, score, ambiguous, and, if asked for, its row of ``docs`` as ``row``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    d = pick(docs, doc_id="long", text="string").withColumn("held_out", held_out(F.col("doc_id")))
+    d = (pick_with_row if whole_rows else pick)(docs, doc_id="long", text="string").withColumn("held_out", held_out(F.col("doc_id")))
+    schema = StructType.fromDDL("doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    if whole_rows:
+        schema = schema.add("row", d.schema["row"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
@@ -151,11 +155,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 near = (two[:, 1] - two[:, 0]) < CLEAR * two[:, 1]
             best = np.where(lettered, best, len(m.languages))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("held_out"), pa.array(names[best], pa.string()), pa.array(np.where(lettered, score, 0.0)), pa.array(near & lettered)],
-                ["doc_id", "held_out", "lang_pred", "score", "ambiguous"],
+                [b.column("doc_id"), b.column("held_out"), pa.array(names[best], pa.string()), pa.array(np.where(lettered, score, 0.0)), pa.array(near & lettered), *([b.column("row")] if whole_rows else [])],
+                ["doc_id", "held_out", "lang_pred", "score", "ambiguous", *(["row"] if whole_rows else [])],
             )
 
-    return d.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    return d.mapInArrow(run, schema)
 
 
 def predict(docs: DataFrame) -> DataFrame:

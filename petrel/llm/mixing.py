@@ -77,7 +77,7 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most_epochs: int = MOST_EPOCHS) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text, source): doc_id, size, source_size, target, taken, epochs."""
+    """Per row of ``docs`` (doc_id, text, source): doc_id, source, size, source_size, target, taken, epochs."""
     d = pick(docs, doc_id="long", text="string", source="string")
     sized = materialise(d.select("doc_id", "source", word_count(F.col("text")).alias("size"), doc_hash(F.col("doc_id")).alias("hash")), "mix-sizes")
     sources = materialise(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most_epochs), "mix-targets")
@@ -88,7 +88,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, most_epochs: int = MOST_EPOCHS) -> Dat
     s = s.select(F.col("s.source").alias("of"), "source_size", "target", "whole", F.coalesce("threshold", F.lit(0)).alias("threshold"))
     out = sized.join(s, F.col("source").eqNullSafe(F.col("of")))
     epochs = F.col("whole") + (F.col("hash") < F.col("threshold")).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * epochs).alias("taken"), epochs.alias("epochs"))
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * epochs).alias("taken"), epochs.alias("epochs"))
+
+
+def repeated(docs: DataFrame, weights=WEIGHTS, most_epochs: int = MOST_EPOCHS) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, with all their columns.
+
+    Rows that share an id share their number of times, so one row of the mix per id is joined back.
+    """
+    times = mix(docs, weights, most_epochs).groupBy(F.col("doc_id").alias("_id"), "source").agg(F.max("epochs").alias("_times")).where("_times > 0")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("d.source").eqNullSafe(F.col("t.source"))
+    taken = docs.alias("d").join(times.alias("t"), same)
+    return taken.select("d.*", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_copy")).drop("_copy")
 
 
 QUERY_SQL = """

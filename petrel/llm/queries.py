@@ -25,7 +25,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
-    return mix(_read(spark, sf_dir, "documents")).drop("epochs")
+    return mix(_read(spark, sf_dir, "documents")).drop("source", "epochs")
 
 
 def op1_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

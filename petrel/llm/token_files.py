@@ -28,7 +28,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,78 +42,44 @@ SAMPLE_DOCS, DICTIONARY_BYTES = 1500, 64 << 10
 #: Bytes of text that one file takes, about.
 FILE_BYTES = 64 << 20
 LEVEL = 3
-#: Chunks whose ids one Python worker remembers before it starts anew.
-REMEMBERED = 500_000
-#: A tokenizer that splits on white space as byte-level BPE does cuts no id across these chunks.
-CHUNKS = re.compile(r"\s+(?!\S)| ?\S+|\s")
-#: White space at an end of the text or next to other white space.
-EDGES = re.compile(r"^\s|\s\s|\s\Z")
-#: How byte-level BPE cuts a text before merging (fixed by the tokenizer).
-PIECES = regex.compile(r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: What Python takes for white space and the tokenizer does not, and the text of the tokenizer's special token.
-WHOLE = re.compile(r"[\x1c-\x1f]|<\|endoftext\|>")
-
-
-def _byte_letters() -> dict[int, int]:
-    """The letter that byte-level BPE writes for each byte: printable ones stand for themselves, the rest follow from U+0100 on."""
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in printable]
-    return {b: b for b in printable} | {b: 0x100 + k for k, b in enumerate(others)}
+#: Chunks whose ids a generation of a Python worker's memory holds, and how many new ones are encoded together.
+REMEMBERED, TOGETHER = 400_000, 2000
+#: Single marks that often end a word.
+MARKS = ".,;:!?"
+#: Texts to encode in one call: white space at an end or next to other white space, what only Python takes for white space,
+#: and the tokenizer's special token.
+WHOLE = re.compile(r"^\s|\s\s|\s\Z|[\x1c-\x1f]|<\|endoftext\|>")
 
 
 def _packed(ids) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
-class _Pieces(dict):
-    """Piece of a chunk -> its ids as bytes, by the tokenizer's model alone. A full memory takes up nothing more."""
-
-    def __init__(self, model):
-        self.model, self.letters = model, _byte_letters()
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = _packed([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
-        if len(self) < REMEMBERED:
-            self[piece] = ids
-        return ids
-
-
-class _Chunks(dict):
-    """Chunk -> its ids as bytes. Chunks beyond Latin letters, on which libraries may differ, are cut by the tokenizer itself."""
+class _Words(dict):
+    """Chunk -> its ids as bytes, in two generations: when the young one is full it becomes the old one, which is forgotten
+    but for the chunks that are asked for again."""
 
-    def __init__(self, tokenizer):
-        self.tokenizer, self.pieces = tokenizer, _Pieces(tokenizer.model)
+    def __init__(self):
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
-        if max(chunk) < "\u0250":
-            ids = b"".join(map(self.pieces.__getitem__, PIECES.findall(chunk)))
-        else:
-            ids = _packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
-        if len(self) < REMEMBERED:
-            self[chunk] = ids
+        ids = self[chunk] = self.old[chunk]
         return ids
 
-
-class _Words(dict):
-    """What follows a single space, up to the next one -> the ids of the space and it, as bytes."""
-
-    def __init__(self, chunks: _Chunks):
-        self.chunks = chunks
-
-    def __missing__(self, word: str) -> bytes:
-        found = CHUNKS.findall(" " + word)
-        ids = b"".join(map(self.chunks.__getitem__ if len(found) > 1 else self.chunks.__missing__, found))
-        if len(found) == 1 and len(self) < REMEMBERED:
-            self[word] = ids
-        return ids
+    def renew(self) -> None:
+        if len(self) > REMEMBERED:
+            self.old = dict(self)
+            self.clear()
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library, with a bounded memory of the chunks between white space.
 
-    Byte-level BPE first cuts a text by a pattern none of whose pieces goes on from a word into the white space after
-    it, so the ids of a text are those of its chunks in turn. Texts in which Python's notion of white space or a special
-    token would matter are encoded in one call.
+    Byte-level BPE first cuts a text by a pattern none of whose pieces goes on from a word into the white space after it. So
+    where every white-space character stands alone, the ids of a text are those of its chunks in turn, a chunk being a space or
+    line feed and what follows up to the next one. New chunks are encoded many at once, run together; as every id stands for a
+    known number of bytes, the ids of each are found by its length. Other texts, and those with a special token or with characters that
+    Python alone takes for white space, are encoded in one call.
     """
 
     def __init__(self, path: str):
@@ -122,24 +87,71 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks = _Chunks(self.tokenizer)
-        self.words = _Words(self.chunks)
+        self.known = _Words()
+        sizes = [0] * self.tokenizer.get_vocab_size()
+        for token, i in self.tokenizer.get_vocab().items():
+            sizes[i] = len(token)  # byte-level tokens have a letter per byte
+        self.sizes = np.array(sizes, np.int64)
+        self.marks = {m: self._whole(m) for m in MARKS}
+
+    def _whole(self, text: str) -> bytes:
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _learn(self, words: list[str], before: str) -> None:
+        """Encodes new words, each after ``before``, many at once."""
+        for at in range(0, len(words), TOGETHER):
+            some = words[at : at + TOGETHER]
+            text = before + before.join(some)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            lengths = map(len, some) if text.isascii() else (len(c.encode()) for c in some)
+            ends = np.cumsum(np.fromiter(lengths, np.int64, len(some)) + len(before))
+            after = np.cumsum(self.sizes[ids])
+            cuts = np.searchsorted(after, ends)
+            if len(ids) == 0 or cuts[-1] != len(ids) - 1 or (after[cuts] != ends).any():
+                raise ValueError("the tokenizer does not cut at white space")
+            raw = ids.tobytes()
+            cuts = ((cuts + 1) * 4).tolist()
+            self.known.update(zip(some, [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
+
+    def all(self, texts: list[str | None], end_id: int) -> list[bytes]:
+        """For each text its ids as little-endian unsigned 32-bit integers, the end id last."""
+        end, known = _packed([end_id]), self.known
+        known.renew()
+        cut: list[list[str] | None] = []
+        new: set[str] = set()
+        for t in texts:
+            if not t or WHOLE.search(t):
+                cut.append(None)
+                continue
+            # a line feed before the first word, whose id is taken off again, makes a chunk of it too
+            words = ("\n" + t).replace("\n", " \n").split(" ")[1:]
+            cut.append(words)
+            new.update(words)
+        new.difference_update(known)
+        new.difference_update(known.old)
+        # A mark after a letter is a piece of its own, so a new word with one at its end is its stem and the mark.
+        marked = [w for w in new if w[-1] in MARKS and w[-2:-1].isalpha()]
+        new.difference_update(marked)
+        new.update(s for s in {w[:-1] for w in marked} if s not in known and s not in known.old)
+        self._learn([w for w in new if w[0] != "\n"], " ")
+        self._learn([w for w in new if w[0] == "\n"], "")
+        get = known.__getitem__
+        known.update([(w, get(w[:-1]) + self.marks[w[-1]]) for w in marked])
+        get = known.__getitem__
+        return [end if not t else self._whole(t) + end if w is None else b"".join([*map(get, w), end])[4:] for t, w in zip(texts, cut, strict=True)]
 
     def __call__(self, text: str | None, end_id: int) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers, the end id last."""
-        end = _packed([end_id])
-        if not text:
-            return end
-        if WHOLE.search(text):
-            return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids) + end
-        if EDGES.search(text):
-            return b"".join(map(self.chunks.__getitem__, CHUNKS.findall(text))) + end
-        first, *words = text.split(" ")  # every space stands alone between two words
-        return b"".join([*map(self.chunks.__getitem__, CHUNKS.findall(first)), *map(self.words.__getitem__, words), end])
+        return self.all([text], end_id)[0]
+
+
+_ENCODERS: dict[str, Encoder] = {}
 
 
-def _strings(column: pa.Array) -> list[str | None]:
-    return column.to_pylist()
+def encoder(path: str) -> Encoder:
+    """The encoder of this process, which later tasks of a worker find warm."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int = 0, sample_docs: int = SAMPLE_DOCS, size: int = DICTIONARY_BYTES) -> bytes:
@@ -155,9 +167,9 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int = 0, sample_do
     chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(rate * (1 << 30)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = Encoder(tokenizer)
+        e = encoder(tokenizer)
         for b in pieces(batches):
-            out = [e(t, end_id)[: 64 << 10] for t in _strings(b.column("text"))]
+            out = [x[: 64 << 10] for x in e.all(b.column("text").to_pylist(), end_id)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
 
     samples = sorted(bytes(r.ids) for r in chosen.mapInArrow(encode, "ids binary").limit(4 * sample_docs).collect())
@@ -204,8 +216,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, file_by
             nonlocal ids
             at = out.write(MAGIC + key)
             for b in pieces((x for part in ([first], batches) for x in part)):
-                for doc, text in zip(b.column("doc_id").to_pylist(), _strings(b.column("text")), strict=True):
-                    got = encode(text, end_id)
+                for doc, got in zip(b.column("doc_id").to_pylist(), encode(b.column("text").to_pylist(), end_id), strict=True):
                     frame = compress(got)
                     out.write(frame)
                     rows.append((doc or 0, doc is None, at, len(frame), len(got) // 4))
