@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,8 +14,6 @@ def round4(c: Column) -> Column:
 
 def exact_round(c: Column, places: int = 4) -> Column:
     """Half even on the exact binary value, as Python rounds. For the few rows of a metrics table; runs in an Arrow UDF."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def rounded(x: pd.Series) -> pd.Series:
         return x.map(lambda v: round(v, places), na_action="ignore")

@@ -47,7 +47,8 @@ def components(objects: DataFrame, links: DataFrame) -> DataFrame:
 
     One task searches one model's graph, whose nodes are object types: hundreds, not data. All models run in one job.
     """
-    nodes, pairs = objects.select("model", "object_type"), links.select("model", "o1", "o2")
+    nodes = objects.select(F.col("model").alias("model"), "object_type")  # attributes of its own: both sides may stem from one table
+    pairs = links.select(F.col("model").alias("model"), "o1", "o2")
     schema = "model string, object_type string, component string, size long, eccentricity long"
     return nodes.groupBy("model").cogroup(pairs.groupBy("model")).applyInPandas(_searched, schema)
 

@@ -116,7 +116,10 @@ def from_csv(df: DataFrame, model: str, max_rows: int | None = None) -> DataFram
         parts = F.transform(F.split(text, ","), lambda x: F.btrim(strip(x), F.lit("'\"")))
         return F.filter(parts, lambda x: ~F.lower(x).isin("", "nan", "none", "[]"))
 
-    each = [F.transform(ids(F.col(f"`{c}`")), lambda x, t=t: F.struct(F.lit(t).alias("type"), x.alias("id"))) for c, t in named.items()]
+    def typed(kind: str, cell: Column) -> Column:
+        return F.transform(ids(cell), lambda x: F.struct(F.lit(kind).alias("type"), x.alias("id")))
+
+    each = [typed(t, F.col(f"`{c}`")) for c, t in named.items()]
     found = F.flatten(F.array(*each)) if each else F.array().cast("array<struct<type:string,id:string>>")
     rows = df.select(
         "source_row", get("ocel:activity", "concept:name").alias("activity"), get("ocel:timestamp", "time:timestamp").alias("time"),
