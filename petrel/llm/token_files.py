@@ -206,7 +206,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, file_by
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        name, rows, ids, encode, compress = f"tokens-{TaskContext.get().partitionId():05d}.bin", [], 0, Encoder(tokenizer), _compressor(dictionary)
+        name, rows, ids, encode, compress = f"tokens-{TaskContext.get().partitionId():05d}.bin", [], 0, encoder(tokenizer).all, _compressor(dictionary)
         batches = iter(batches)
         first = next((b for b in batches if len(b)), None)
         if first is None:
