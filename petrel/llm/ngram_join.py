@@ -3,7 +3,7 @@
 A document is the set of its distinct runs of five words. Under any one order of all runs, two sets that link share at least
 ``l`` runs among the first ``n - ceil(0.8 n) + l`` of each (an l-prefix), for every l; if they use different l, they share
 the smaller one. The order puts frequent runs last. Each document picks its l by estimated cost: a longer prefix costs more postings
-but asks for more matches, so fewer candidates are verified. Every candidate is verified on the whole texts.
+but asks for more matches, so fewer candidates are verified. Every candidate is verified on the whole texts. (With both sizes known a pair needs even more matches; see ``prefix_pairs``.)
 
 Steps, all distributed:
  1. how frequent runs are (a statistic over all documents; it sets the order and the costs and cannot change the result);
@@ -177,7 +177,10 @@ def prefix_pairs(prefixed: DataFrame) -> DataFrame:
     post = prefixed.select("doc_id", "component", F.col("n").cast("int").alias("n"), "matches", F.explode("prefix").alias("run"))
     left, right = (post.select("run", *[F.col(c).alias(c + side) for c in ("doc_id", "component", "n", "matches")]) for side in ("_a", "_b"))
     met = left.join(right, "run").where((F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b")) & _alike("n_a", "n_b"))
-    need = F.min(F.least("matches_a", "matches_b"))
+    # Linked sets share ceil(0.8 / 1.8 * (n_a + n_b)) runs at least. Those beyond the prefix that ends first are at most its set's
+    # rest, ceil(0.8 n) - matches; the others lie in both prefixes.
+    rest = "greatest((80 * n_a + 99) div 100 - matches_a, (80 * n_b + 99) div 100 - matches_b)"
+    need = F.min(F.expr(f"(80 * (n_a + n_b) + 179) div 180 - {rest}"))
     pairs = met.groupBy(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).agg(F.count(F.lit(1)).alias("shared"), need.alias("need"))
     return pairs.where("shared >= need")
 
