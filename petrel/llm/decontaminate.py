@@ -219,7 +219,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, whole_rows
 
 def remove(text: str, spans: list[tuple[int, int]], least: int = SPAN_WORDS) -> str:
     """``text`` without the words of the spans of at least ``least`` words and what stands between those words."""
-    found = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)]
+    found = [m.span() for m in re.finditer(r"(?:[A-Z]|[^\x00-\x2F\x3A-\x60\x7B-\x7F])+", text)]
     out, at = [], 0
     for start, length in spans:
         if length >= least:

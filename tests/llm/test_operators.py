@@ -258,8 +258,9 @@ def test_language(documents):
     assert all(got[k].lang_pred == g for k, _, g, _ in rows[:180]) and any(got[k].held_out for k in range(180))
     assert [got[k].lang_pred for k in (1000, 1001, 1002)] == ["und"] * 3 and got[1001].score == 0
     assert got[None].lang_pred == "aa" and all(0 <= x.score <= 1 for x in got.values())
-    few = {x.doc_id: (x.lang_pred, x.score) for x in predict(documents([(2, "the", "aa", "x"), (3, "der", "aa", "x"), (5, "?", "aa", "x")])).collect()}
-    assert few == {2: ("aa", 1.0), 3: ("aa", 1.0), 5: ("und", 0.0)}
+    learnt, unseen = (next(k for k in range(100) if (zlib.crc32(str(k).encode()) % 3 == 1) is held) for held in (False, True))
+    few = {x.doc_id: (x.lang_pred, x.score) for x in predict(documents([(learnt, "the", "aa", "x"), (unseen, "der", "aa", "x"), (200, "?", "aa", "x")])).collect()}
+    assert few == {learnt: ("aa", 1.0), unseen: ("aa", 1.0), 200: ("und", 0.0)}
     assert {x.lang_pred for x in predict(documents([(2, "the", None, "x")])).collect()} == {"und"}
     assert predict(documents([])).count() == 0
 
