@@ -26,8 +26,6 @@ from pyspark.sql import functions as F
 
 from .common import filesystem, materialise, pick, pieces, publish, scratch
 
-#: Bytes of payload that one archive takes, about.
-ARCHIVE_BYTES = 64 << 20
 #: Bytes that the reader asks for at once, and the longest header that it accepts.
 READ_BYTES, HEADER_BYTES = 1 << 20, 64 << 10
 VERSION = b"WARC/1."
@@ -80,16 +78,17 @@ def member(data: bytes) -> bytes:
     return c.compress(data) + c.flush()
 
 
-def write(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, compress: bool = True, least_bytes: int = 0) -> DataFrame:
-    """Writes archives to ``folder``; returns their names as (archive)."""
+def write(pages: DataFrame, folder: str, compress: bool = True, least_bytes: int = 0) -> DataFrame:
+    """Writes archives to ``folder``, one per partition of the join that tells the kinds of records; returns their names as (archive).
+
+    The pages are shuffled once, by that join; a task streams its partition to its archive.
+    """
     spark = pages.sparkSession
     p = pick(pages, page_id="long", url="string", html="string")
-    total = p.agg(F.sum(F.octet_length("html")).alias("n")).first().n or 0
-    n = max(1, -(-total // archive_bytes), min(spark.sparkContext.defaultParallelism * 2, total >> 20))
     kind = kinds(p, least_bytes)
     p = p.withColumn("sha1", F.sha1(F.coalesce("html", F.lit(""))))
     both = p.alias("p").join(kind.alias("k"), F.col("p.page_id").eqNullSafe(F.col("k.page_id")) & (F.col("p.sha1") == F.col("k.sha1")))
-    dealt = both.select("p.page_id", "url", "html", "first").repartition(n, "page_id")
+    dealt = both.select("p.page_id", "url", "html", "first")
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
