@@ -81,8 +81,9 @@ def run_statistics(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
 def prefix_of(runs: np.ndarray, frequent: np.ndarray, counts: np.ndarray, others: float) -> tuple[np.ndarray, int]:
     """(prefix, l): the l-prefix of the least estimated cost, in the global order (frequency, hash).
 
-    The cost, in postings: those written, those read (the other documents of each run), and candidates verified, of which
-    there are at most (postings read) / l, at a cost that follows the document's length.
+    The cost, in postings: those written, those read (the other documents of each run), and candidates verified, at a cost that
+    follows the document's length. A candidate takes l matches and, by ``prefix_pairs``, some 0.04 n more on average over
+    the sizes that can link, so there are at most (postings read) / (l + 0.04 n) of them.
     """
     n = len(runs)
     often = np.zeros(n)
@@ -95,7 +96,7 @@ def prefix_of(runs: np.ndarray, frequent: np.ndarray, counts: np.ndarray, others
     read = np.cumsum(np.where(often > 0, often - 1, others)[order[:longest]])
     lengths = np.arange(n - need + 1, longest + 1)
     matches = lengths - (n - need)
-    cost = lengths + read[lengths - 1] * (1 + max(4, n / 8) / matches)
+    cost = lengths + read[lengths - 1] * (1 + max(4, n / 8) / (matches + 0.04 * n))
     best = int(np.argmin(cost))
     return runs[order[: lengths[best]]], int(matches[best])
 
