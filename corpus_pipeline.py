@@ -10,36 +10,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from petrel.llm import decontaminate, langid, mixing, ngram_join, token_files
-from petrel.llm.common import scratch
+from petrel.llm.common import prepare, scratch
 from petrel.llm.queries import tokenizer_path
-from petrel.shipping import ship
 
 #: Below this score a text's language counts as not identified.
 LEAST_SCORE = 0.3
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language is identified: all but texts without a letter and those that no codeword is near to."""
-    ship(spark)
+    prepare(spark)
     found = langid.identify(docs, langid.learn(docs), whole_rows=True)
     return found.where((F.col("lang_pred") != langid.UNDETERMINED) & ((F.col("score") >= LEAST_SCORE) | ~F.col("ambiguous"))).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of linked documents the one with the smallest id."""
-    ship(spark)
+    prepare(spark)
     groups = ngram_join.join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("copy")).distinct()
     return docs.join(groups, F.col("doc_id") == F.col("copy"), "left_anti")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents without any window of a benchmark item: hit spans exceed the length limit of a window, so the whole document goes."""
-    ship(spark)
+    prepare(spark)
     return decontaminate.scan(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), whole_rows=True).where("n_hit = 0").select("row.*")
 
 
@@ -50,7 +49,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the token files and returns the digest of every document in them."""
-    ship(spark)
+    prepare(spark)
     folder = scratch(spark, "corpus-tokens")
     return token_files.read(spark, folder, token_files.write(docs, folder, tokenizer_path()))
 

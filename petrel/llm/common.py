@@ -12,10 +12,20 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
+
 #: Documents per Arrow batch that the Python stages cut their input into.
 BATCH_ROWS = 1000
 #: Words whose hashes one Python worker remembers before it starts anew.
-VOCABULARY = 500_000
+VOCABULARY = 200_000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ships the package, and lowers the rows per Arrow batch from Spark's default, which texts of many kilobytes make too large."""
+    ship(spark)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(setting, "10000") == "10000":
+        spark.conf.set(setting, str(BATCH_ROWS))
 
 
 # ---------------------------------------------------------------- shared storage
@@ -91,7 +101,7 @@ def pick_with_row(df: DataFrame, **types: str) -> DataFrame:
 # ---------------------------------------------------------------- texts in Arrow batches
 
 
-def pieces(batches, rows: int = BATCH_ROWS, most_bytes: int = 16 << 20, text: str = "text"):
+def pieces(batches, rows: int = BATCH_ROWS, most_bytes: int = 4 << 20, text: str = "text"):
     """Arrow batches cut into slices of at most ``rows`` rows and about ``most_bytes`` bytes of text."""
     for batch in batches:
         at = 0

@@ -172,6 +172,14 @@ def spans_of(hit: bytes | bytearray) -> list[tuple[int, int]]:
 _LOADED: dict[tuple[str, int], Automaton] = {}
 
 
+def _loaded(key: tuple[str, int], items, window: int) -> Automaton:
+    """The automaton of broadcast items, built once a worker as long as there is one list of them."""
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = Automaton(items.value, window)
+    return _LOADED[key]
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, whole_rows: bool = False) -> DataFrame:
     """Per document: doc_id, text, n_words, n_hit, items (sorted strings), spans (start, length), and, if asked for, its
     row of ``docs`` as ``row``.
@@ -186,18 +194,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, whole_rows
         schema = schema.add("row", d.schema["row"].dataType)
     token = uuid.uuid4().hex
 
-    def load(k: int) -> Automaton:
-        if (token, k) not in _LOADED:
-            _LOADED.clear()
-            _LOADED[token, k] = Automaton(lists[k].value, window)
-        return _LOADED[token, k]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             words = [words_of(t) for t in encoded(b.column("text"))]
             hits, found = [bytearray(len(w)) for w in words], [set() for _ in words]
             for k in range(len(lists)):
-                a = load(k)
+                a = _loaded((token, k), lists[k], window)
                 for w, h, f in zip(words, hits, found, strict=True):
                     f |= a.scan(w, h)
             spans = [spans_of(h) if f else [] for h, f in zip(hits, found, strict=True)]

@@ -43,7 +43,7 @@ SAMPLE_DOCS, DICTIONARY_BYTES = 1500, 64 << 10
 FILE_BYTES = 64 << 20
 LEVEL = 3
 #: Chunks whose ids a generation of a Python worker's memory holds, and how many new ones are encoded together.
-REMEMBERED, TOGETHER = 400_000, 2000
+REMEMBERED, TOGETHER = 200_000, 2000
 #: Single marks that often end a word.
 MARKS = ".,;:!?"
 #: Texts to encode in one call: white space at an end or next to other white space, what only Python takes for white space,
