@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, VOCABULARY, encoded, pick, pieces
 from .sampling import class_sample, collected
 
-PER_CLASS, MOST_SAMPLE = 2500, 8000
+PER_CLASS, MOST_SAMPLE = 1500, 4000
 BUCKETS, FACTORS = 2048, 8
 EPOCHS, STEP, MINIBATCH, DECAY = 30, 0.02, 256, 1e-4
 THRESHOLD = 0.7
