@@ -43,12 +43,12 @@ SAMPLE_DOCS, DICTIONARY_BYTES = 1500, 64 << 10
 FILE_BYTES = 64 << 20
 LEVEL = 3
 #: Chunks whose ids a generation of a Python worker's memory holds, and how many new ones are encoded together.
-REMEMBERED, TOGETHER = 200_000, 2000
+REMEMBERED, TOGETHER = 250_000, 2000
 #: Single marks that often end a word.
 MARKS = ".,;:!?"
-#: Texts to encode in one call: white space at an end or next to other white space, what only Python takes for white space,
-#: and the tokenizer's special token.
-WHOLE = re.compile(r"^\s|\s\s|\s\Z|[\x1c-\x1f]|<\|endoftext\|>")
+#: Words whose texts are encoded in one call: nothing (two spaces, or one at an end) or a line feed alone (one beside other white
+#: space), any other white space (Python's notion is wider than the tokenizer's), and the tokenizer's special token.
+ODD = re.compile(r"^\n?\Z|[^\S\n]|<\|endoftext\|>")
 
 
 def _packed(ids) -> bytes:
@@ -117,18 +117,11 @@ class Encoder:
         """For each text its ids as little-endian unsigned 32-bit integers, the end id last."""
         end, known = _packed([end_id]), self.known
         known.renew()
-        cut: list[list[str] | None] = []
-        new: set[str] = set()
-        for t in texts:
-            if not t or WHOLE.search(t):
-                cut.append(None)
-                continue
-            # a line feed before the first word, whose id is taken off again, makes a chunk of it too
-            words = ("\n" + t).replace("\n", " \n").split(" ")[1:]
-            cut.append(words)
-            new.update(words)
-        new.difference_update(known)
-        new.difference_update(known.old)
+        # a line feed before the first word, whose id is taken off again, makes a chunk of it too
+        cut = [("\n" + t).replace("\n", " \n").split(" ")[1:] if t else [] for t in texts]
+        new = set().union(*cut).difference(known).difference(known.old)
+        odd = {w for w in new if ODD.search(w)}  # never remembered, so always new
+        new -= odd
         # A mark after a letter is a piece of its own, so a new word with one at its end is its stem and the mark.
         marked = [w for w in new if w[-1] in MARKS and w[-2:-1].isalpha()]
         new.difference_update(marked)
@@ -137,8 +130,15 @@ class Encoder:
         self._learn([w for w in new if w[0] == "\n"], "")
         get = known.__getitem__
         known.update([(w, get(w[:-1]) + self.marks[w[-1]]) for w in marked])
-        get = known.__getitem__
-        return [end if not t else self._whole(t) + end if w is None else b"".join([*map(get, w), end])[4:] for t, w in zip(texts, cut, strict=True)]
+        out = []
+        for t, words in zip(texts, cut, strict=True):
+            if not t:
+                out.append(end)
+            elif odd and not odd.isdisjoint(words):
+                out.append(self._whole(t) + end)
+            else:
+                out.append(b"".join([*map(get, words), end])[4:])
+        return out
 
     def __call__(self, text: str | None, end_id: int) -> bytes:
         return self.all([text], end_id)[0]
