@@ -23,6 +23,8 @@ WEIGHTS = (5, 2, 1)
 #: A source is taken this many times at most.
 MOST_EPOCHS = 3
 HASH_BITS, LEVEL_BITS = 60, 12
+#: Tables of a row per source are broadcast up to this many sources; beyond, they are joined by shuffling.
+MOST_BROADCAST = 50_000
 _SPACE = "\\x20\\x09-\\x0D"
 
 
@@ -57,8 +59,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most_epochs: int = MOST_EPOCHS) -
     return s.select("source", "source_size", F.least(F.col("cap").cast("double"), shared).alias("target"))
 
 
-def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
-    """(source, threshold) for (source, budget): documents of a hash below the threshold fill the budget best.
+def thresholds(sized: DataFrame, budgets: DataFrame, few: bool = False) -> DataFrame:
+    """(source, threshold) for (source, budget): documents of a hash below the threshold fill the budget best. ``few``: sources to broadcast.
 
     ``sized``: (source, size, hash). One narrow aggregation per level; beyond the first it reads one bucket of each
     source only. The boundary hash itself is taken if that comes closer to the budget than leaving it.
@@ -66,7 +68,7 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     state = budgets.select(F.col("source").alias("of"), "budget", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("taken"))
     for level in range(HASH_BITS // LEVEL_BITS):
         above, shift = HASH_BITS - LEVEL_BITS * level, HASH_BITS - LEVEL_BITS * (level + 1)
-        here = sized.join(state, F.col("source").eqNullSafe(F.col("of")) & (F.shiftright("hash", above) == F.shiftright("low", above)))
+        here = sized.join(F.broadcast(state) if few else state, F.col("source").eqNullSafe(F.col("of")) & (F.shiftright("hash", above) == F.shiftright("low", above)))
         hist = here.groupBy("of", "budget", "taken", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("words"))
         up_to = F.col("taken") + F.sum("words").over(Window.partitionBy("of").orderBy("bucket"))
         over = hist.withColumn("up_to", up_to).where(F.col("up_to") > F.col("budget"))
@@ -83,10 +85,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, most_epochs: int = MOST_EPOCHS) -> Dat
     sources = materialise(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most_epochs), "mix-targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     sources = sources.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
-    limits = thresholds(sized, sources.where("source_size > 0").select("source", "budget"))
+    few = sources.count() <= MOST_BROADCAST
+    limits = thresholds(sized, sources.where("source_size > 0").select("source", "budget"), few)
     s = sources.alias("s").join(limits.alias("l"), F.col("s.source").eqNullSafe(F.col("l.source")), "left")
     s = s.select(F.col("s.source").alias("of"), "source_size", "target", "whole", F.coalesce("threshold", F.lit(0)).alias("threshold"))
-    out = sized.join(s, F.col("source").eqNullSafe(F.col("of")))
+    out = sized.join(F.broadcast(s) if few else s, F.col("source").eqNullSafe(F.col("of")))
     epochs = F.col("whole") + (F.col("hash") < F.col("threshold")).cast("long")
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * epochs).alias("taken"), epochs.alias("epochs"))
 
