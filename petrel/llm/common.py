@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -111,6 +112,15 @@ def pieces(batches, rows: int = BATCH_ROWS, most_bytes: int = 4 << 20, text: str
             n = max(1, int(np.searchsorted(ends, most_bytes, "right")))
             yield batch.slice(at, n)
             at += n
+    release()
+
+
+def release() -> None:
+    """Gives memory that the worker's allocators hold but do not use back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def encoded(column: pa.Array) -> list[bytes | None]:
