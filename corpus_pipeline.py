@@ -32,7 +32,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of linked documents the one with the smallest id."""
     prepare(spark)
-    groups = ngram_join.join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("copy")).distinct()
+    groups = ngram_join.join(docs, count=False).where("doc_id <> component_id").select(F.col("doc_id").alias("copy")).distinct()
     return docs.join(groups, F.col("doc_id") == F.col("copy"), "left_anti")
 
 

@@ -12,11 +12,15 @@ Steps, all distributed:
  4. stars: the documents of a min-hash key are held against the smallest of them, and verified links are merged. This costs one
     pair a document and key, and turns large groups of near copies into components without their pairs;
  5. the prefix join, between documents that are not in one component already; candidates with enough matches are verified;
- 6. components of all links.
-Step 5 alone is complete; step 4 only spares it pairs whose link could not change a component.
+ 6. components of all links;
+ 7. the number of links: all links lie within components, so every pair of classes of a component is verified. A component's texts
+    are dealt into cells of two blocks, whose shared runs are counted by products of matrices; a cell gives back counts, not pairs.
+Step 5 alone finds the components; step 4 only spares it pairs whose link could not change one. Step 7 leaves out no pair.
 
 Defined results: a null or empty text has an empty set and is linked with nothing; a text of fewer than five words is one run; rows that share
 an id are one node; a row without id is linked with nothing and has no component; an empty table gives an empty result; other columns are ignored.
+A document's links are counted to other documents, which differ in id or set: rows that share both count once, and rows that share an id but
+not the set have counts of their own.
 """
 
 from __future__ import annotations
@@ -43,6 +47,8 @@ KEYS, SHARED_KEYS = 16, 4
 FREQUENT = 1 / 500
 #: The statistic of frequent runs and id lists are broadcast up to these sizes; beyond, rarer runs count as rare, ids are joined.
 MOST_FREQUENT, MOST_IDS = 1 << 20, 1 << 20
+#: Classes and bytes of text that a block of a component holds, about, and the runs that one product takes.
+CELL_ROWS, CELL_BYTES, CELL_RUNS = 512, 4 << 20, 4096
 
 
 def shingles(text: bytes | None, hashes: WordHashes) -> np.ndarray:
@@ -102,7 +108,7 @@ def prefix_of(runs: np.ndarray, frequent: np.ndarray, counts: np.ndarray, others
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, a, b, matches, prefix, keys) of each document."""
+    """(doc_id, t, n, a, b, matches, prefix, keys) of each document; t is a hash of its text."""
     shared = docs.sparkSession.sparkContext.broadcast(run_statistics(docs))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,11 +130,11 @@ def signatures(docs: DataFrame) -> DataFrame:
             prints = np.stack(prints)
             lists = [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in col])]).astype(np.int32), pa.array(np.concatenate(col).view(np.int64))) for col in (prefixes, keys)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(matches, pa.int32()), *lists],
-                ["doc_id", "n", "a", "b", "matches", "prefix", "keys"],
+                [b.column("doc_id"), b.column("t"), pa.array(sizes, pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(matches, pa.int32()), *lists],
+                ["doc_id", "t", "n", "a", "b", "matches", "prefix", "keys"],
             )
 
-    return docs.mapInArrow(sign, "doc_id long, n long, a long, b long, matches int, prefix array<long>, keys array<long>")
+    return docs.withColumn("t", F.xxhash64("text")).mapInArrow(sign, "doc_id long, t long, n long, a long, b long, matches int, prefix array<long>, keys array<long>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -186,12 +192,83 @@ def prefix_pairs(prefixed: DataFrame) -> DataFrame:
     return pairs.where("shared >= need")
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, class_id (the smallest id with an equal set)."""
+def linked(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Whether each set of ``left`` links with each of ``right``."""
+    sizes = [np.array([len(x) for x in side]) for side in (left, right)]
+    runs = [np.concatenate(side) for side in (left, right)]
+    common = np.intersect1d(*runs)
+    places = []
+    for n, r in zip(sizes, runs, strict=True):
+        column = np.searchsorted(common, r)
+        keep = np.flatnonzero(common[np.minimum(column, len(common) - 1)] == r) if len(common) else np.empty(0, np.int64)
+        keep = keep[np.argsort(column[keep], kind="stable")]
+        places.append((np.repeat(np.arange(len(n)), n)[keep], column[keep]))
+    both = np.zeros((len(left), len(right)))
+    for start in range(0, len(common), CELL_RUNS):
+        parts = []
+        for (row, column), side in zip(places, (left, right), strict=True):
+            a, b = np.searchsorted(column, [start, start + CELL_RUNS])
+            parts.append(np.zeros((len(side), min(CELL_RUNS, len(common) - start)), np.float32))
+            parts[-1][row[a:b], column[a:b] - start] = 1
+        both += parts[0] @ parts[1].T
+    return (both > 0) & (100 * both >= PERCENT * (sizes[0][:, None] + sizes[1][None] - both))
+
+
+def link_counts(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, n): the documents in other classes that each class links with. ``members``: (node, doc_id, t, size, component) of the classes
+    that have a component.
+    """
+    keyed = docs.where("doc_id is not null").withColumn("t", F.xxhash64("text"))
+    texts = materialise(keyed.join(members, ["doc_id", "t"]).select("node", "size", "component", "text"), "ngram-linked")
+    wide = F.octet_length("text")
+    of = materialise(texts.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum(wide).alias("w")), "ngram-sizes")
+    blocks = F.greatest(F.ceil(F.col("m") / CELL_ROWS), F.ceil(F.col("w") / CELL_BYTES))
+    large = of.select("component", blocks.alias("blocks")).where("blocks > 1")
+    total = of.agg(F.sum("m").alias("m"), F.sum("w").alias("w")).first()
+    buckets = max(1, -(-(total.m or 0) // CELL_ROWS), -(-(total.w or 0) // CELL_BYTES))
+
+    # A small component lies whole in a bucket of several; each block of a large one meets every block of it.
+    dealt = texts.join(F.broadcast(large), "component", "left").withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.coalesce("blocks", F.lit(1))))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1)))
+    group = F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("component"), F.lit(buckets))).otherwise(F.col("component"))
+    dealt = dealt.select(
+        group.alias("g"), F.col("blocks").isNotNull().alias("large"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+        "block", "component", "node", "size", "text",
+    )
+
+    def cell(table: pa.Table) -> pa.Table:
+        hashes = WordHashes()
+        node, first = np.unique(np.asarray(table["node"]), return_index=True)  # repeated rows once
+        size, component, block = (np.asarray(table[c])[first] for c in ("size", "component", "block"))
+        text = table["text"].take(pa.array(first)).combine_chunks()
+        sets = [shingles(t, hashes) for t in encoded(text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text)]
+        low, high = table["low"][0].as_py(), table["high"][0].as_py()
+        n = np.zeros(len(node), np.int64)
+        order = np.lexsort((block, component))
+        for at in np.split(order, np.flatnonzero(np.diff(component[order])) + 1):
+            a, b = at[block[at] == low], at[block[at] == high]
+            if not len(a) or not len(b):
+                continue
+            ok = linked([sets[k] for k in a], [sets[k] for k in b])
+            if low == high:
+                np.fill_diagonal(ok, False)
+            else:
+                n[b] += ok.T @ size[a]
+            n[a] += ok @ size[b]
+        return pa.table([pa.array(node), pa.array(n)], ["node", "n"])
+
+    return dealt.groupBy("g", "large", "low", "high").applyInArrow(cell, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+
+
+def join(docs: DataFrame, count: bool = True) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, class_id (the smallest id with an equal set), and, unless ``count`` is off, n_links."""
     d = pick(docs, doc_id="long", text="string")
     signed = materialise(signatures(d), "ngram-signatures")
     named = signed.where("n > 0 and doc_id is not null")
-    classes = materialise(named.groupBy("a", "b").agg(F.min("doc_id").alias("class_id")), "ngram-classes")
+    each = named.groupBy("doc_id", "a", "b").agg(F.min("t").alias("t"))
+    classes = each.groupBy("a", "b").agg(F.min(F.struct("doc_id", "t")).alias("c"), F.count(F.lit(1)).alias("size"))
+    classes = classes.select("a", "b", F.col("c.doc_id").alias("class_id"), F.col("c.t").alias("t"), "size", F.monotonically_increasing_id().alias("id"))
+    classes = materialise(classes, "ngram-classes")
     of_class = named.select("doc_id", "a", "b").join(classes, ["a", "b"]).select("doc_id", "class_id").distinct()
     of_class = materialise(of_class, "ngram-members")
     own = of_class.groupBy("doc_id").agg(F.min("class_id").alias("b"), F.max("class_id").alias("z")).where("b < z")
@@ -204,7 +281,15 @@ def join(docs: DataFrame) -> DataFrame:
     links = verified(prefix_pairs(named.select("doc_id", "n", "matches", "prefix").join(labelled, "doc_id")), d)
 
     final = components(stars.union(links).union(same_id.select("a", "b")), "ngram-components")
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "a", "b").join(classes, ["a", "b"], "left")
-    out = out.withColumn("class_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("class_id")).otherwise(F.col("doc_id")))
+    columns = ["a", "b", "class_id"]
+    if count:
+        members = classes.join(final, classes.class_id == final.node)
+        met = link_counts(members.select(F.col("id").alias("node"), F.col("class_id").alias("doc_id"), "t", "size", "component"), d)
+        columns.append((F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+        classes = classes.join(met.withColumnRenamed("node", "id"), "id", "left")
+    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "a", "b").join(classes.select(*columns), ["a", "b"], "left")
+    known = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    out = out.withColumn("class_id", F.when(known, F.col("class_id")).otherwise(F.col("doc_id")))
     out = out.join(final, out.class_id == final.node, "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"), "class_id")
+    links = [F.when(known, F.col("n_links")).otherwise(0).alias("n_links")] if count else []
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"), "class_id", *links)

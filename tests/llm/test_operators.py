@@ -82,6 +82,29 @@ def test_jaccard_join_of_nothing(documents):
     assert join(documents([])).count() == 0
 
 
+@pytest.mark.parametrize("rows_a_block", [512, 3])
+def test_jaccard_join_counts_links(corpus, documents, monkeypatch, rows_a_block):
+    from petrel.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "CELL_ROWS", rows_a_block)
+    r, rows = random.Random(8), list(corpus[0])
+    base = [f"b{k}" for k in range(200)]
+    for k in range(40):  # a group of near copies, not all of which link
+        changed = set(r.sample(range(200), r.randrange(1, 7)))
+        rows.append((200 + k, " ".join("x" if j in changed else w for j, w in enumerate(base)), "en", "s"))
+    rows += [(300 + k, rows[-1][1], "en", "s") for k in range(3)] + [(200, "another text of the id, which is far from it", "en", "s")]
+    sets = []
+    for i, t, *_ in rows:
+        w = WORDS.findall((t or "").lower())
+        sets.append((i, frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])))
+    others = {x for x in sets if x[0] is not None and x[1]}
+    meets = lambda x, y: x != y and 100 * len(x[1] & y[1]) >= 80 * len(x[1] | y[1])
+    want = [(x[0], len(x[1]), sum(meets(x, y) for y in others) if x in others else 0) for x in sets]
+    group = [n for i, _, n in want if (i or 0) >= 200]
+    assert max(group) > 10 and len(set(group)) > 5
+    assert rows_of(ngram_join.join(documents(rows)), "doc_id", "n_shingles", "n_links") == sorted(want, key=str)
+
+
 def test_prefix_lengthens_with_cost():
     from petrel.llm.ngram_join import prefix_of
 
