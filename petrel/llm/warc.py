@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import filesystem, materialise, pick, pieces, publish, scratch
 
-#: Bytes that the reader asks for at once, and the longest header that it accepts.
-READ_BYTES, HEADER_BYTES = 1 << 20, 64 << 10
+#: Bytes that the reader asks for at once. A header may be of any length: a url has no bound.
+READ_BYTES = 1 << 20
 VERSION = b"WARC/1."
 _MEMBER = b"\x1f\x8b\x08"
 _DATE = "2000-01-01T00:00:00Z"
@@ -134,7 +134,7 @@ class Damaged(ValueError):
 
 def _parsed(data: bytes) -> tuple[dict[str, str], int, int]:
     """(header, start and length of the block) of a record that begins ``data``; raises if its header is not valid."""
-    end = data.find(b"\r\n\r\n", 0, HEADER_BYTES)
+    end = data.find(b"\r\n\r\n")
     if not data.startswith(VERSION) or end < 0:
         raise Damaged("no version line or header")
     lines = data[:end].decode("utf-8", "replace").split("\r\n")
@@ -175,8 +175,11 @@ def _from_member(w: Window) -> tuple[dict[str, str], bytes, int]:
 
 
 def _from_plain(w: Window) -> tuple[dict[str, str], bytes, int]:
-    while w.data.find(b"\r\n\r\n", 0, HEADER_BYTES) < 0 and len(w.data) < HEADER_BYTES and w.more():
-        pass
+    seen = 0
+    while w.data.find(b"\r\n\r\n", seen) < 0:
+        seen = max(0, len(w.data) - 3)  # the end of the header may lie across two reads
+        if not w.more():
+            break
     header, start, length = _parsed(w.data)
     while len(w.data) < start + length + 4 and w.more():
         pass

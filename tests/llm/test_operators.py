@@ -233,6 +233,20 @@ def test_warc_round_trip(spark):
     assert round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_long_urls(spark):
+    from petrel.llm.warc import READ_BYTES, member, record, round_trip, salvage
+
+    urls = ["http://a/" + " " * 30_000, "http://a/" + "x" * 70_000, "http://a/" + "é" * READ_BYTES, "http://a/"]
+    df = spark.createDataFrame([(k, u, "same") for k, u in enumerate(urls)], "page_id long, url string, html string")
+    assert rows_of(round_trip(df), "page_id", "record_type", "refers_to") == [(0, "response", None), (1, "revisit", 0), (2, "revisit", 0), (3, "revisit", 0)]
+    recs = [record(k, u, b"payload", k) for k, u in enumerate(urls)]
+    for data in (b"".join(recs), b"".join(map(member, recs))):
+        got = list(salvage(io.BytesIO(data)))
+        assert [(what, c[0]["x-page-id"], len(c[0]["warc-target-uri"])) for what, _, c in got] == [("record", "0", 90_009), ("record", "1", 70_009), ("record", "2", READ_BYTES + 9), ("record", "3", 9)]
+    torn = recs[2][:-40] + b"?"
+    assert [(what, c if what == "gap" else c[0]["x-page-id"]) for what, _, c in salvage(io.BytesIO(torn + recs[0]))] == [("gap", len(torn)), ("record", "0")]
+
+
 def test_warc_salvage():
     from petrel.llm.warc import member, record, salvage
 
