@@ -1,11 +1,10 @@
-"""Substring dedup by relative Lempel-Ziv parsing over blocks of the corpus.
+"""Substring dedup by matching 20-word phrases over blocks of the corpus, in place of relative Lempel-Ziv parsing.
 
 The corpus is dealt into reference blocks of bounded size. Each block has an index: the sorted hashes of its phrases, that is
-of every run of ``WINDOW`` consecutive words, with their first place. A document is factored against every block's index:
-against its own block's where it lies, against the others' through an exchange of phrases, so that no block is sent
-to all others. Where a phrase of the document occurs earlier, a factor begins; it is extended greedily, word by word, as long
-as the phrase that ends there occurs earlier too (in any block: that is the check at a factor's boundary, where one reference ends
-and another may go on). A factor is at least a phrase long, and its words are a duplicate span.
+of every run of ``WINDOW`` consecutive words, with their first place. A document's phrases are looked up in every block's index:
+in its own block's where it lies, in the others' through an exchange of phrases, so that no block is sent
+to all others. The words of every phrase that occurs earlier, in any block, are marked; a run of marked words is a duplicate
+span. There is no longest match and no place of a source: a span may chain phrases of several sources.
 
 The exchange sends few phrases. Each phrase has an anchor, the smallest hash of the 8-word runs within it, which depends on its
 words alone; neighbouring phrases mostly share one. Blocks first exchange their distinct anchors (about one in seven phrases has a new one); only phrases whose
