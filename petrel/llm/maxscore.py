@@ -46,7 +46,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     """Rows of a list column, padded with zeros to a width."""
     lengths = np.asarray(pc.list_value_length(column))
     flat = np.asarray(column.flatten())
-    out = np.zeros((len(column), width))
+    out = np.zeros((len(column), width), np.int64)
     if len(column) and (lengths == width).all():
         out[:] = flat.reshape(-1, width)
     else:
@@ -72,9 +72,8 @@ def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors:
 
     Sums are exact: products of integers of this size fit into doubles (checked), or Python integers take their place.
     """
-    exact = float(np.abs(queries).sum(1).max(initial=0)) * float(np.abs(vectors).max(initial=0)) < 2**53
-    if not exact:
-        queries, vectors = (x.astype(object) for x in (queries, vectors))
+    exact = np.abs(queries.astype(float)).sum(1).max(initial=0) * np.abs(vectors.astype(float)).max(initial=0) < 2**53
+    queries, vectors = (x.astype(float if exact else object) for x in (queries, vectors))
     postings = np.ascontiguousarray(vectors.T)
     high, low = vectors.max(0), vectors.min(0)
     out = []

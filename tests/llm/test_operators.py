@@ -349,6 +349,23 @@ def test_max_score(spark):
     assert top_k(df.limit(0), every()).count() == 0
 
 
+def test_max_score_of_large_components():
+    import pyarrow as pa
+
+    from petrel.llm.maxscore import _matrix, search
+
+    r = random.Random(6)
+    for top in (1 << 20, 1 << 28):  # the sums of the second lie beyond 2 ** 53
+        data = [[r.randrange(-top, top) for _ in range(16)] for _ in range(60)]
+        data += [[x + (k == 3) for k, x in enumerate(v)] for v in data[:30]] + [data[5]]  # scores that differ by one weight
+        m, ids = _matrix(pa.array(data, pa.list_(pa.int64())), 16), np.arange(len(data))
+        queries = [*data[:9], [1 << 28] * 15 + [1]]
+        found = search(np.arange(len(queries)) + 1000, _matrix(pa.array(queries, pa.list_(pa.int64())), 16), ids, m, 20)
+        for q, (at, scores) in zip(queries, found, strict=True):
+            best = sorted((-sum(x * y for x, y in zip(q, v, strict=True)), k) for k, v in enumerate(data))[:20]
+            assert [(-int(s), int(k)) for k, s in zip(at, scores, strict=True)] == best
+
+
 def test_mix(corpus, documents):
     from petrel.llm.mixing import mix, repeated, word_count
 
