@@ -13,20 +13,23 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from ..shipping import ship
+from ..shipping import is_local, ship
 
 #: Documents per Arrow batch that the Python stages cut their input into.
 BATCH_ROWS = 1000
+#: Rows and bytes of the Arrow batches that Spark sends: a row may hold two texts of hundreds of kilobytes.
+SENT = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "500"), "spark.sql.execution.arrow.maxBytesPerBatch": (str(64 << 20), str(8 << 20))}
 #: Words whose hashes one Python worker remembers before it starts anew.
-VOCABULARY = 200_000
+VOCABULARY = 100_000
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ships the package, and lowers the rows per Arrow batch from Spark's default, which texts of many kilobytes make too large."""
+    """Ships the package. Where the session has Spark's defaults, makes the Arrow batches smaller, as long texts need; the registered
+    queries and the pipeline call this, the operators themselves leave the session's settings alone."""
     ship(spark)
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(setting, "10000") == "10000":
-        spark.conf.set(setting, str(BATCH_ROWS))
+    for setting, (default, ours) in SENT.items():
+        if spark.conf.get(setting, default) == default:
+            spark.conf.set(setting, ours)
 
 
 # ---------------------------------------------------------------- shared storage
@@ -35,13 +38,16 @@ def prepare(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (single-machine tests) a temporary folder is made and set.
+    Only where that is unset and the master is local a temporary folder is made and set; on a cluster this raises, as
+    executors could not read what others wrote to folders of their own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             root = found.get()
+        elif not is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         else:
             root = "file://" + tempfile.mkdtemp(prefix="petrel-")
             spark.sparkContext.setCheckpointDir(root)
@@ -53,12 +59,23 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/petrel/{name}-{uuid.uuid4().hex}"
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes what ``materialise`` wrote for these tables; nothing may read them any more."""
+    for df in tables:
+        path = getattr(df, "_petrel_path", None)
+        if path:
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and reread: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._petrel_path = path
+    return out
 
 
 def filesystem(uri: str):
@@ -106,12 +123,13 @@ def pieces(batches, rows: int = BATCH_ROWS, most_bytes: int = 4 << 20, text: str
     """Arrow batches cut into slices of at most ``rows`` rows and about ``most_bytes`` bytes of text."""
     for batch in batches:
         at = 0
-        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0)) if len(batch) else []
+        sizes = np.asarray(pc.fill_null(pc.binary_length(field(batch, text, pa.string())), 0)) if len(batch) else []
         while at < len(batch):
             ends = np.cumsum(sizes[at : at + rows])
             n = max(1, int(np.searchsorted(ends, most_bytes, "right")))
             yield batch.slice(at, n)
             at += n
+        del batch
     release()
 
 
@@ -123,6 +141,31 @@ def release() -> None:
         trim(0)
 
 
+#: What a Python worker keeps between tasks: one thing at a time, by key.
+_KEPT: dict = {}
+
+
+def keep(key, make):
+    """``make()``, or what an earlier task of this worker made under the same key. Asking for another key forgets the last."""
+    if key not in _KEPT:
+        forget()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Frees what an earlier task kept: a stage that keeps nothing must not carry the memory of the one before."""
+    if _KEPT:
+        _KEPT.clear()
+        release()
+
+
+def field(batch: pa.RecordBatch, name: str, kind: pa.DataType) -> pa.Array:
+    """A column of a batch cast to a type; nulls if there is none."""
+    at = batch.schema.get_field_index(name)
+    return batch.column(at).cast(kind) if at >= 0 else pa.nulls(len(batch), kind)
+
+
 def encoded(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of each string of an Arrow array."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

@@ -8,9 +8,10 @@ dropped if too much of it is hit.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z are lower-cased.
 
-Defined results: a null text has no words and is never contaminated; an item that is null or has no words is never
-found; items with equal texts are found together; rows of documents that share an id are judged each by itself; with
-an empty benchmark nothing is hit; other columns of either table are ignored.
+Defined results: a null text has no words and is never contaminated; an item that is null, has no words or has no id is never
+found; items with equal texts are found together; items that share an id are one item; texts of any length are streamed whole; rows of documents
+that share an id are judged each by itself; with an empty benchmark nothing is hit; other columns of either table are ignored
+(``clean`` passes those of the documents on).
 """
 
 from __future__ import annotations
@@ -23,13 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from .common import encoded, pick, pick_with_row, pieces
+from .common import encoded, field, keep, pick, pieces
 
 WINDOW = 10
 #: One automaton has at most about this many words of items; a larger benchmark is split into several, one after another.
 AUTOMATON_WORDS = 400_000
+#: With several automata, texts that a worker runs through one of them before it builds the next, in bytes.
+HELD_BYTES = 48 << 20
 #: A span of at least this many words is removed; above this share of hit words the whole document goes.
 SPAN_WORDS, COVERAGE = 10, 0.5
 
@@ -144,22 +146,24 @@ class Automaton:
         return found
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, most_words: int = AUTOMATON_WORDS) -> list[list[tuple[int, list[bytes]]]]:
-    """The items as lists that each fit into one automaton.
+def automata(benchmark: DataFrame, window: int = WINDOW, most_words: int = AUTOMATON_WORDS) -> list:
+    """The items as broadcast lists that each fit into one automaton.
 
-    The benchmark is the stated query set of the operator: it is read to the driver as a stream, a bounded list at a time.
+    The benchmark is the stated query set of the operator: it is read to the driver as a stream, one bounded list at a time,
+    which is sent before the next is read.
     """
-    lists, room = [[]], most_words
-    for r in pick(benchmark, item_id="long", text="string").orderBy("item_id").toLocalIterator():
+    send = benchmark.sparkSession.sparkContext.broadcast
+    lists, items, room = [], [], most_words
+    for r in pick(benchmark, item_id="long", text="string").orderBy("item_id", "text").toLocalIterator():
         words = words_of(r.text.encode() if r.text is not None else None)
         if not words or r.item_id is None:
             continue
-        if len(words) > room and lists[-1]:
-            lists.append([])
-            room = most_words
-        lists[-1].append((r.item_id, words))
+        if len(words) > room and items:
+            lists.append(send(items))
+            items, room = [], most_words
+        items.append((r.item_id, words))
         room -= len(words)
-    return [x for x in lists if x]
+    return [*lists, send(items)] if items else lists
 
 
 def spans_of(hit: bytes | bytearray) -> list[tuple[int, int]]:
@@ -168,55 +172,157 @@ def spans_of(hit: bytes | bytearray) -> list[tuple[int, int]]:
     return [(int(a), int(b - a)) for a, b in edges.reshape(-1, 2)]
 
 
-#: In a worker: the automaton used last, by scan and position.
-_LOADED: dict[tuple[str, int], Automaton] = {}
+def _built(items, window: int) -> Automaton:
+    made = Automaton(items.value, window)
+    items.__dict__.pop("_value", None)  # the automaton is enough; the worker reads the broadcast file again if it must
+    return made
 
 
-def _loaded(key: tuple[str, int], items, window: int) -> Automaton:
-    """The automaton of broadcast items, built once a worker as long as there is one list of them."""
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Automaton(items.value, window)
-    return _LOADED[key]
+def _scanned(batches: Iterator[pa.RecordBatch], lists: list, token: str, window: int) -> Iterator[tuple[pa.RecordBatch, list[bytearray], list[set[int]]]]:
+    """(slice, which words of each text are hit, items found in each).
 
+    With one list of items its automaton is kept between tasks and slices are streamed. With several, a worker holds one automaton and
+    ``HELD_BYTES`` of texts, which it runs through one automaton after the other.
+    """
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, whole_rows: bool = False) -> DataFrame:
-    """Per document: doc_id, text, n_words, n_hit, items (sorted strings), spans (start, length), and, if asked for, its
-    row of ``docs`` as ``row``.
+    def through(held: list[pa.RecordBatch]):
+        out = [[(bytearray(len(words_of(t))), set()) for t in encoded(field(b, "text", pa.string()))] for b in held]
+        for k, items in enumerate(lists):
+            a = keep((token, k), lambda items=items: _built(items, window))
+            for b, each in zip(held, out, strict=True):
+                for t, (hit, found) in zip(encoded(field(b, "text", pa.string())), each, strict=True):
+                    found |= a.scan(words_of(t), hit)
+        for b, each in zip(held, out, strict=True):
+            yield b, [hit for hit, _ in each], [found for _, found in each]
+
+    held, size = [], 0
+    for b in pieces(batches, most_bytes=2 << 20):
+        held.append(b)
+        size += field(b, "text", pa.string()).nbytes
+        if len(lists) < 2 or size >= HELD_BYTES:
+            yield from through(held)
+            held, size = [], 0
+    yield from through(held)
+
+
+def scan(self, words: list[bytes], hit: bytearray) -> set[int]:
+        """Marks the hit words of a document; the items found."""
+        nexts, link, length, reports, window = self.next, self.link, self.length, self.reports, self.window
+        found: set[int] = set()
+        state = run = 0
+        for i, w in enumerate(words):
+            to = nexts[state].get(w)
+            if to is None:
+                if not state:
+                    continue
+                while to is None and state:
+                    state = link[state]
+                    to = nexts[state].get(w)
+                if to is None:
+                    run = 0
+                    continue
+                run = length[state]
+            state = to
+            run += 1
+            if reports[state]:
+                if run >= window and self.found[state]:
+                    # a state whose own runs include the window: shorter runs of it lie up the links
+                    hit[i + 1 - window : i + 1] = b"\x01" * window
+                    found |= self.found[state]
+                for n, items in self.short[state]:
+                    if run >= n:
+                        hit[i + 1 - n : i + 1] = b"\x01" * n
+                        found |= items
+        return found
+
+
+def automata(benchmark: DataFrame, window: int = WINDOW, most_words: int = AUTOMATON_WORDS) -> list:
+    """The items as broadcast lists that each fit into one automaton.
+
+    The benchmark is the stated query set of the operator: it is read to the driver as a stream, one bounded list at a time,
+    which is sent before the next is read.
+    """
+    send = benchmark.sparkSession.sparkContext.broadcast
+    lists, items, room = [], [], most_words
+    for r in pick(benchmark, item_id="long", text="string").orderBy("item_id", "text").toLocalIterator():
+        words = words_of(r.text.encode() if r.text is not None else None)
+        if not words or r.item_id is None:
+            continue
+        if len(words) > room and items:
+            lists.append(send(items))
+            items, room = [], most_words
+        items.append((r.item_id, words))
+        room -= len(words)
+    return [*lists, send(items)] if items else lists
+
+
+def spans_of(hit: bytes | bytearray) -> list[tuple[int, int]]:
+    """(start, length) of the runs of hit words."""
+    edges = np.flatnonzero(np.diff(np.frombuffer(b"\0" + bytes(hit) + b"\0", np.int8)))
+    return [(int(a), int(b - a)) for a, b in edges.reshape(-1, 2)]
+
+
+def _built(items, window: int) -> Automaton:
+    made = Automaton(items.value, window)
+    items.__dict__.pop("_value", None)  # the automaton is enough; the worker reads the broadcast file again if it must
+    return made
+
+
+def _scanned(batches: Iterator[pa.RecordBatch], lists: list, token: str, window: int) -> Iterator[tuple[pa.RecordBatch, list[bytearray], list[set[int]]]]:
+    """(slice, which words of each text are hit, items found in each).
+
+    With one list of items its automaton is kept between tasks and slices are streamed. With several, a worker holds one automaton and
+    ``HELD_BYTES`` of texts, which it runs through one automaton after the other.
+    """
+
+    def through(held: list[pa.RecordBatch]):
+        out = [[(bytearray(len(words_of(t))), set()) for t in encoded(field(b, "text", pa.string()))] for b in held]
+        for k, items in enumerate(lists):
+            a = keep((token, k), lambda items=items: _built(items, window))
+            for b, each in zip(held, out, strict=True):
+                for t, (hit, found) in zip(encoded(field(b, "text", pa.string())), each, strict=True):
+                    found |= a.scan(words_of(t), hit)
+        for b, each in zip(held, out, strict=True):
+            yield b, [hit for hit, _ in each], [found for _, found in each]
+
+    held, size = [], 0
+    for b in pieces(batches, most_bytes=2 << 20):
+        held.append(b)
+        size += field(b, "text", pa.string()).nbytes
+        if len(lists) < 2 or size >= HELD_BYTES:
+            yield from through(held)
+            held, size = [], 0
+    yield from through(held)
+
+
+def _sent(spark: SparkSession, benchmark: DataFrame, window: int) -> tuple[list, str]:
+    """The lists of items, each a broadcast of bounded size, and a name for them."""
+    return [spark.sparkContext.broadcast(x) for x in automata(benchmark, window)], uuid.uuid4().hex
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Per document: doc_id, n_words, n_hit, items (sorted strings), spans (start, length).
 
     One pass over the documents for all automata: no shuffle, and the only thing sent to the executors is the items.
     """
-    spark = docs.sparkSession
-    lists = [spark.sparkContext.broadcast(x) for x in automata(benchmark, window)]
-    d = (pick_with_row if whole_rows else pick)(docs, doc_id="long", text="string")
-    schema = StructType.fromDDL("doc_id long, text string, n_words long, n_hit long, items array<string>, spans array<struct<start:long,length:long>>")
-    if whole_rows:
-        schema = schema.add("row", d.schema["row"].dataType)
-    token = uuid.uuid4().hex
+    lists, token = automata(benchmark, window), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
-            words = [words_of(t) for t in encoded(b.column("text"))]
-            hits, found = [bytearray(len(w)) for w in words], [set() for _ in words]
-            for k in range(len(lists)):
-                a = _loaded((token, k), lists[k], window)
-                for w, h, f in zip(words, hits, found, strict=True):
-                    f |= a.scan(w, h)
+        for b, hits, found in _scanned(batches, lists, token, window):
             spans = [spans_of(h) if f else [] for h, f in zip(hits, found, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id"),
-                    b.column("text"),
-                    pa.array([len(w) for w in words], pa.int64()),
+                    pa.array([len(h) for h in hits], pa.int64()),
                     pa.array([sum(h) for h in hits], pa.int64()),
                     pa.array([sorted(map(str, f)) for f in found], pa.list_(pa.string())),
                     pa.array([[{"start": s, "length": n} for s, n in x] for x in spans], pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))),
-                    *([b.column("row")] if whole_rows else []),
                 ],
-                ["doc_id", "text", "n_words", "n_hit", "items", "spans", *(["row"] if whole_rows else [])],
+                ["doc_id", "n_words", "n_hit", "items", "spans"],
             )
 
-    return d.mapInArrow(run, schema)
+    schema = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,length:long>>"
+    return pick(docs, doc_id="long", text="string").mapInArrow(run, schema)
 
 
 def remove(text: str, spans: list[tuple[int, int]], least: int = SPAN_WORDS) -> str:
@@ -230,18 +336,29 @@ def remove(text: str, spans: list[tuple[int, int]], least: int = SPAN_WORDS) ->
     return "".join([*out, text[at:]])
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, span_words: int = SPAN_WORDS, coverage: float = COVERAGE) -> DataFrame:
-    """(doc_id, text, n_removed) of the documents whose share of hit words is at most ``coverage``, their long spans removed."""
-    kept = scan(docs, benchmark, window).where(F.col("n_hit") <= coverage * F.col("n_words"))
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, span_words: int = SPAN_WORDS, coverage: float = COVERAGE, whole: bool = False) -> DataFrame:
+    """The rows of ``docs``, all their columns, whose share of hit words is at most ``coverage``, with spans of ``span_words`` or more removed
+    from their texts. With ``whole``, a document that has such a span goes as a whole and no text is changed.
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
-            spans = [[(s["start"], s["length"]) for s in x] for x in b.column("spans").to_pylist()]
-            texts = [remove(t, s, span_words) if s else t for t, s in zip(b.column("text").to_pylist(), spans, strict=True)]
-            gone = [sum(n for _, n in s if n >= span_words) for s in spans]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string()), pa.array(gone, pa.int64())], ["doc_id", "text", "n_removed"])
+    Short items alone (below ``span_words`` words) thus cost a document nothing unless they cover much of it.
+    """
+    lists, token = automata(benchmark, window), uuid.uuid4().hex
 
-    return kept.select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, text string, n_removed long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, hits, found in _scanned(batches, lists, token, window):
+            kept, texts = [], {}
+            for k, (h, f) in enumerate(zip(hits, found, strict=True)):
+                spans = [x for x in spans_of(h) if x[1] >= span_words] if f else []
+                kept.append(sum(h) <= coverage * len(h) and not (whole and spans))
+                if kept[-1] and spans:
+                    texts[k] = spans
+            if texts:
+                at = b.schema.get_field_index("text")
+                new = [remove(t, texts[k], span_words) if k in texts else t for k, t in enumerate(b.column(at).to_pylist())]
+                b = b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
+            yield b.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -5,11 +5,11 @@ text, white space and ASCII punctuation folded, predicts on which side the text'
 a codeword's distance is the sum over its bits of exp(-bit * margin), each weighted by how well the bit's classifier
 knows that language; the nearest codeword wins. A text whose two nearest codewords lie close together is flagged.
 
-The classifiers are fitted on a bounded sample (PER_LANGUAGE texts of each of the MOST_LANGUAGES most frequent
-languages); every text is scored whole, in one pass without a shuffle.
+The classifiers are fitted on a bounded sample: PER_LANGUAGE texts of each language, or MOST_SAMPLE over the number of languages where
+that is less, so that every labelled language is learned; every text is scored whole, in one pass without a shuffle.
 
 Defined results: a null text and one without a letter are ``und`` with score 0; so is any text if no row is labelled;
-with one learned language every text with a letter is of it, with score 1; equal texts get equal results; other
+with one learned language every text with a letter is of it, with score 1; equal texts get equal results, repeated rows each their own; other
 columns of the input are ignored.
 """
 
@@ -23,12 +23,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from .common import encoded, pick, pick_with_row, pieces
+from .common import encoded, field, forget, pick, pieces
 from .sampling import class_sample, collected
 
-PER_LANGUAGE, MOST_LANGUAGES, MOST_SAMPLE = 500, 64, 8000
+PER_LANGUAGE, MOST_SAMPLE = 500, 8000
 #: Hashed n-grams: how many buckets, and of which lengths in bytes.
 BUCKETS, LENGTHS = 4096, (2, 3)
 RIDGE = 0.05
@@ -36,6 +35,8 @@ RIDGE = 0.05
 EXHAUSTIVE, BITS_PER_LOG = 6, 10
 #: Steepness of the score, and the least relative distance between the two nearest codewords of a clear text.
 STEEPNESS, CLEAR = 1.5, 0.1
+#: From this distance of the nearest codeword on (1: the classifiers say nothing) an ambiguous text's language is not found.
+FAR = 0.95
 UNDETERMINED = "und"
 _FOLD = np.array([c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint8)
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
@@ -81,7 +82,7 @@ def codewords(classes: int, seed: int = 7) -> np.ndarray:
         code = np.where(r.random((classes, n)) < 0.5, -1, 1)
         if (abs(code.sum(0)) == classes).any():
             continue
-        apart = min((code[i] != code[j]).sum() for i in range(classes) for j in range(i))
+        apart = (n - (code @ code.T)[np.triu_indices(classes, 1)].max()) // 2
         if apart > most:
             best, most = code, apart
     return best
@@ -95,9 +96,10 @@ class Model:
     trust: np.ndarray  # languages x bits, rows add up to the number of bits
 
     def distances(self, x: np.ndarray) -> np.ndarray:
+        """The loss-weighted distance of each text to each codeword: 1 if the classifiers say nothing, 0 if they are sure and agree."""
         margins = x @ self.weights[:-1] + self.weights[-1]
-        loss = np.exp(-margins[:, None, :] * self.code[None])
-        return (loss * self.trust[None]).sum(2) / max(1, self.code.shape[1])
+        up, down = (np.exp(sign * margins) @ np.where(self.code == -sign, self.trust, 0).T for sign in (-1, 1))
+        return (up + down) / max(1, self.code.shape[1])
 
 
 def train(x: np.ndarray, labels: list[str]) -> Model:
@@ -126,40 +128,54 @@ def learn(docs: DataFrame) -> Model:
     """The model of the labelled documents that are not held out."""
     d = pick(docs, doc_id="long", text="string", lang="string")
     labelled = d.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sample = class_sample(labelled, "lang", PER_LANGUAGE, MOST_LANGUAGES)
-    return train(*collected(sample, "lang", lambda b: ngram_features(encoded(pc.utf8_lower(b.column("text")))), MOST_SAMPLE))
-
-
-def identify(docs: DataFrame, model: Model, whole_rows: bool = False) -> DataFrame:
-    """Per document: doc_id, held_out, lang_pred, score, ambiguous, and, if asked for, its row of ``docs`` as ``row``."""
+    sample = class_sample(labelled, "lang", PER_LANGUAGE, MOST_SAMPLE)
+    return train(*collected(sample, "lang", lambda b: ngram_features(encoded(pc.utf8_lower(b.column("text"))))))
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], m: Model) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(slice, place of each text's language in the model, score, distance of its codeword, whether it is ambiguous)."""
+    forget()
+    for b in pieces(batches, rows=500, most_bytes=2 << 20):
+        column = field(b, "text", pa.string())
+        lettered = np.asarray(pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False))
+        n = len(column)
+        if len(m.languages) < 2:
+            best, score, near, least = np.full(n, 0), np.full(n, float(len(m.languages))), np.zeros(n, bool), np.zeros(n)
+        else:
+            d = m.distances(ngram_features(encoded(pc.utf8_lower(column))))
+            best = d.argmin(1)
+            two = np.partition(d, 1, axis=1)[:, :2]
+            least = two[:, 0]
+            score = 1 / np.exp(-STEEPNESS * len(m.languages) * (d - two[:, :1])).sum(1)
+            near = (two[:, 1] - two[:, 0]) < CLEAR * two[:, 1]
+        yield b, np.where(lettered, best, len(m.languages)), np.where(lettered, score, 0.0), np.where(lettered, least, 1.0), near & lettered
+
+
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """Per document: doc_id, held_out, lang_pred, score, ambiguous, distance (of the nearest codeword, 1 for ``und``)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    d = (pick_with_row if whole_rows else pick)(docs, doc_id="long", text="string").withColumn("held_out", held_out(F.col("doc_id")))
-    schema = StructType.fromDDL("doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
-    if whole_rows:
-        schema = schema.add("row", d.schema["row"].dataType)
+    d = pick(docs, doc_id="long", text="string").withColumn("held_out", held_out(F.col("doc_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = shared.value
-        names = np.array([*m.languages, UNDETERMINED], object)
-        for b in pieces(batches, rows=500, most_bytes=2 << 20):
-            column = b.column("text")
-            lettered = np.asarray(pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False))
-            n = len(column)
-            if len(m.languages) < 2:
-                best, score, near = np.full(n, 0), np.full(n, float(len(m.languages))), np.zeros(n, bool)
-            else:
-                d = m.distances(ngram_features(encoded(pc.utf8_lower(column))))
-                best = d.argmin(1)
-                two = np.partition(d, 1, axis=1)[:, :2]
-                score = 1 / np.exp(-STEEPNESS * len(m.languages) * (d - two[:, :1])).sum(1)
-                near = (two[:, 1] - two[:, 0]) < CLEAR * two[:, 1]
-            best = np.where(lettered, best, len(m.languages))
+        names = np.array([*shared.value.languages, UNDETERMINED], object)
+        for b, best, score, distance, near in _decoded(batches, shared.value):
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("held_out"), pa.array(names[best], pa.string()), pa.array(np.where(lettered, score, 0.0)), pa.array(near & lettered), *([b.column("row")] if whole_rows else [])],
-                ["doc_id", "held_out", "lang_pred", "score", "ambiguous", *(["row"] if whole_rows else [])],
+                [b.column("doc_id"), b.column("held_out"), pa.array(names[best], pa.string()), pa.array(score), pa.array(near), pa.array(distance.astype(float))],
+                ["doc_id", "held_out", "lang_pred", "score", "ambiguous", "distance"],
             )
 
-    return d.mapInArrow(run, schema)
+    return d.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean, distance double")
+
+
+def identified(docs: DataFrame, model: Model, far: float = FAR) -> DataFrame:
+    """The rows of ``docs``, all their columns, whose language is found: texts with a letter, but for those that are ambiguous and ``far`` from every codeword."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, best, _, distance, near in _decoded(batches, shared.value):
+            yield b.filter(pa.array((best < len(shared.value.languages)) & ~(near & (distance >= far))))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def predict(docs: DataFrame) -> DataFrame:

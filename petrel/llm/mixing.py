@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, pick
+from .common import materialise, pick, pick_with_row
 
 #: Weights by position of the source, repeated.
 WEIGHTS = (5, 2, 1)
@@ -78,31 +78,46 @@ def thresholds(sized: DataFrame, budgets: DataFrame, few: bool = False) -> DataF
     return state.select(F.col("of").alias("source"), (F.col("low") + closer.cast("long")).alias("threshold"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, most_epochs: int = MOST_EPOCHS) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text, source): doc_id, source, size, source_size, target, taken, epochs."""
-    d = pick(docs, doc_id="long", text="string", source="string")
-    sized = materialise(d.select("doc_id", "source", word_count(F.col("text")).alias("size"), doc_hash(F.col("doc_id")).alias("hash")), "mix-sizes")
+def plan(sized: DataFrame, weights=WEIGHTS, most_epochs: int = MOST_EPOCHS) -> tuple[DataFrame, bool]:
+    """(of, source_size, target, whole, threshold) per source, and whether the sources are few enough to be broadcast.
+
+    ``sized``: (source, size, hash). A document of hash h is taken ``whole`` times and once more if h is below the threshold.
+    """
     sources = materialise(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most_epochs), "mix-targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     sources = sources.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
     few = sources.count() <= MOST_BROADCAST
     limits = thresholds(sized, sources.where("source_size > 0").select("source", "budget"), few)
     s = sources.alias("s").join(limits.alias("l"), F.col("s.source").eqNullSafe(F.col("l.source")), "left")
-    s = s.select(F.col("s.source").alias("of"), "source_size", "target", "whole", F.coalesce("threshold", F.lit(0)).alias("threshold"))
+    return s.select(F.col("s.source").alias("of"), "source_size", "target", "whole", F.coalesce("threshold", F.lit(0)).alias("threshold")), few
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    d = pick(docs, doc_id="long", text="string", source="string")
+    return materialise(d.select("doc_id", "source", word_count(F.col("text")).alias("size"), doc_hash(F.col("doc_id")).alias("hash")), "mix-sizes")
+
+
+def _epochs() -> Column:
+    return F.col("whole") + (F.col("hash") < F.col("threshold")).cast("long")
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, most_epochs: int = MOST_EPOCHS) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text, source): doc_id, source, size, source_size, target, taken, epochs."""
+    sized = _sized(docs)
+    s, few = plan(sized, weights, most_epochs)
     out = sized.join(F.broadcast(s) if few else s, F.col("source").eqNullSafe(F.col("of")))
-    epochs = F.col("whole") + (F.col("hash") < F.col("threshold")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * epochs).alias("taken"), epochs.alias("epochs"))
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * _epochs()).alias("taken"), _epochs().alias("epochs"))
 
 
 def repeated(docs: DataFrame, weights=WEIGHTS, most_epochs: int = MOST_EPOCHS) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, with all their columns.
+    """The rows of ``docs``, each as often as the mix takes it, with all their columns, whatever their names.
 
-    Rows that share an id share their number of times, so one row of the mix per id is joined back.
+    A row's times follow from its own id and source, so the texts stay where they are: only the table of sources comes to them.
     """
-    times = mix(docs, weights, most_epochs).groupBy(F.col("doc_id").alias("_id"), "source").agg(F.max("epochs").alias("_times")).where("_times > 0")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("d.source").eqNullSafe(F.col("t.source"))
-    taken = docs.alias("d").join(times.alias("t"), same)
-    return taken.select("d.*", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_copy")).drop("_copy")
+    s, few = plan(_sized(docs), weights, most_epochs)
+    d = pick_with_row(docs, doc_id="long", source="string").select("row", "source", doc_hash(F.col("doc_id")).alias("hash"))
+    taken = d.join(F.broadcast(s) if few else s, F.col("source").eqNullSafe(F.col("of"))).where(_epochs() > 0)
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), _epochs()))).select("row.*")
 
 
 QUERY_SQL = """

@@ -30,23 +30,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, encoded, materialise, mixed, ngrams, pick, pieces
+from .common import LOWER, WordHashes, discard, encoded, forget, materialise, mixed, ngrams, pick, pieces
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
 #: The most matches that a document may ask for; its prefix grows by one run for each.
 MOST_MATCHES = 128
-#: One in so many runs, by hash, is counted exactly, to learn how many other documents hold a run that is not frequent.
-COUNTED = 64
 #: Min-hash keys a document, and how many two documents share before a star verifies them.
 KEYS, SHARED_KEYS = 16, 4
-#: A run counts as frequent from this share of documents on; there are at most (mean set size / FREQUENT) such runs.
-FREQUENT = 1 / 500
-#: The statistic of frequent runs and id lists are broadcast up to these sizes; beyond, rarer runs count as rare, ids are joined.
-MOST_FREQUENT, MOST_IDS = 1 << 20, 1 << 20
+#: A run is frequent from this many documents on.
+FREQUENT = 8
+#: Frequent runs that a worker holds at most (16 bytes each), and ids that are broadcast at most; more ids are joined by a shuffle.
+MOST_FREQUENT, MOST_IDS = 1 << 21, 1 << 20
+#: Counting: runs summed at once, runs of a range of hashes, bits of a slot within its range.
+CHUNK_RUNS, RANGE_RUNS, SLOT_BITS = 1 << 21, 1 << 22, 24
 #: Classes and bytes of text that a block of a component holds, about, and the runs that one product takes.
 CELL_ROWS, CELL_BYTES, CELL_RUNS = 512, 4 << 20, 4096
 
@@ -59,32 +60,88 @@ def shingles(text: bytes | None, hashes: WordHashes) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=1)] if words else [], np.uint64)
 
 
-def run_statistics(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """(sorted hashes of frequent runs, their document counts, other documents that hold a run which is not frequent).
+def run_counts(docs: DataFrame) -> tuple[DataFrame, int]:
+    """((slot, n), bits): in how many documents the runs of each slot occur, and how many top bits of a run's hash make its slot.
 
-    From all documents; copies that lie together count once.
+    Exact over all documents, but for copies that lie together, which count once. Tasks sum runs over chunks of documents and send them packed:
+    per chunk and range of hashes one row, of the differences of its sorted slots and their counts, compressed (some 1.5 bytes
+    a run). A range holds some ``RANGE_RUNS`` runs whatever the input, and a run is in it once a chunk, however frequent it is.
     """
+    total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    ranges = max(0, (total // (6 * RANGE_RUNS)).bit_length())
+    drop = np.uint64(64 - ranges - SLOT_BITS)
+
+    def packed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        slots, n = np.unique(np.concatenate(held) >> drop, return_counts=True)
+        part = (slots >> np.uint64(SLOT_BITS)).astype(np.int64)
+        starts = np.flatnonzero(np.diff(part, prepend=-1))
+        rows = []
+        for x, c in zip(np.split(slots & np.uint64((1 << SLOT_BITS) - 1), starts[1:]), np.split(n, starts[1:]), strict=True):
+            planes = np.stack([np.diff(x.astype(np.int64), prepend=0), c]).astype("<u4").view(np.uint8).reshape(2, -1, 4)
+            rows.append(zstandard.compress(planes.transpose(0, 2, 1).tobytes(), 1))
+        yield pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array(rows, pa.binary())], ["part", "packed"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        forget()
+        hashes, held, size = WordHashes(), [], 0
         for b in pieces(batches, rows=4000):
-            own = {u.tobytes(): u for u in (shingles(t, hashes) for t in encoded(b.column("text")))}
-            runs, n = np.unique(np.concatenate([*own.values(), np.empty(0, np.uint64)]), return_counts=True)
-            keep = (n >= 3) | (runs % np.uint64(COUNTED) == 0)
-            yield pa.RecordBatch.from_arrays([pa.array(runs[keep].view(np.int64)), pa.array(n[keep])], ["run", "n"])
-
-    limit = max(3.0, docs.count() * FREQUENT)
-    seen = docs.select("text").mapInArrow(count, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
-    seen = materialise(seen, "ngram-runs")
-    found = seen.where(F.col("n") >= limit).orderBy(F.desc("n"), "run").limit(MOST_FREQUENT).toArrow()
-    rare = seen.where((F.col("n") < limit) & (F.col("run").bitwiseAND(F.lit(COUNTED - 1)) == 0))
-    others = rare.agg(F.sum(F.col("n") * (F.col("n") - 1)) / F.sum("n")).first()[0]
-    runs, n = np.asarray(found["run"]).astype(np.int64).view(np.uint64), np.asarray(found["n"]).astype(np.int64)
-    order = np.argsort(runs)
-    return runs[order], n[order], float(others or 0)
-
-
-def prefix_of(runs: np.ndarray, frequent: np.ndarray, counts: np.ndarray, others: float) -> tuple[np.ndarray, int]:
+            own = {u.tobytes(): u for u in (shingles(t, hashes) for t in encoded(b.column("text"))) if len(u)}
+            held += own.values()
+            size += sum(map(len, own.values()))
+            if size >= CHUNK_RUNS:
+                yield from packed(held)
+                held, size = [], 0
+        if held:
+            yield from packed(held)
+
+    def add(table: pa.Table) -> pa.Table:
+        part, slots, n = table["part"][0].as_py(), [], []
+        for x in table["packed"].to_pylist():
+            a, c = np.ascontiguousarray(np.frombuffer(zstandard.decompress(x), np.uint8).reshape(2, 4, -1).transpose(0, 2, 1)).view("<u4")[:, :, 0]
+            slots.append(np.cumsum(a, dtype=np.uint32))
+            n.append(c)
+        slots, n = np.concatenate(slots), np.concatenate(n)
+        order = np.argsort(slots)
+        slots, n = slots[order], n[order].astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], slots[1:] != slots[:-1]]))
+        total = np.add.reduceat(n, first)
+        often = total >= FREQUENT
+        rest = total[~often]
+        # what is not frequent is summed up in one row: slot -1 with the postings, slot -2 with those of other documents
+        return pa.table(
+            [
+                pa.array(np.concatenate([(part << SLOT_BITS) | slots[first][often].astype(np.int64), [-1, -2]])),
+                pa.array(np.concatenate([total[often], [rest.sum(), (rest * (rest - 1)).sum()]])),
+            ],
+            ["slot", "n"],
+        )
+
+    counted = docs.select("text").mapInArrow(count, "part long, packed binary").groupBy("part").applyInArrow(add, "slot long, n long")
+    return materialise(counted, "ngram-runs"), 64 - int(drop)
+
+
+def run_statistics(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """(sorted slots of frequent runs, their document counts, other documents that hold a run which is not frequent, bits of a slot).
+
+    Frequent are runs of at least ``FREQUENT`` documents. Workers hold at most ``MOST_FREQUENT`` of them: where there are more, the
+    least frequent of them are ordered like rare ones, by hash. That bounds memory and can cost pairs, but changes no result.
+    """
+    counts, bits = run_counts(docs)
+    totals = {r.slot: r.n for r in counts.where("slot < 0").groupBy("slot").agg(F.sum("n").alias("n")).collect()}
+    often, least, held = counts.where("slot >= 0"), FREQUENT, 0
+    level = F.floor(F.log2("n") * 4)
+    for r in often.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).orderBy(F.desc("level")).collect():  # some 100 rows
+        held += r.k
+        if held > MOST_FREQUENT:
+            break
+        least = r.least
+    found = often.where(F.col("n") >= least).toArrow()
+    slots, n = np.asarray(found["slot"]).astype(np.int64), np.asarray(found["n"]).astype(np.int64)
+    order = np.argsort(slots)
+    return slots[order].astype(np.uint64), n[order], totals.get(-2, 0) / max(1, totals.get(-1, 0)), bits
+
+
+def prefix_of(runs: np.ndarray, frequent: np.ndarray, counts: np.ndarray, others: float, bits: int = 64) -> tuple[np.ndarray, int]:
     """(prefix, l): the l-prefix of the least estimated cost, in the global order (frequency, hash).
 
     The cost, in postings: those written, those read (the other documents of each run), and candidates verified, at a cost that
@@ -94,8 +151,9 @@ def prefix_of(runs: np.ndarray, frequent: np.ndarray, counts: np.ndarray, others
     n = len(runs)
     often = np.zeros(n)
     if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, runs), len(frequent) - 1)
-        often = np.where(frequent[at] == runs, counts[at], 0)
+        slots = runs >> np.uint64(64 - bits)
+        at = np.minimum(np.searchsorted(frequent, slots), len(frequent) - 1)
+        often = np.where(frequent[at] == slots, counts[at], 0)
     order = np.lexsort((runs, often))
     need = -(-PERCENT * n // 100)
     longest = n - need + min(MOST_MATCHES, need)
@@ -112,6 +170,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(run_statistics(docs))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         statistics = shared.value
         hashes = WordHashes()
         bins = np.uint64(KEYS)
@@ -146,6 +205,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     texts = materialise(texts.select("doc_id", "text"), "ngram-texts")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         hashes, last, left = WordHashes(), None, None
         for batch in batches:
             for b in pieces([batch], rows=500, most_bytes=4 << 20):
@@ -160,7 +220,9 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b")
     with_both = with_b.join(texts.select(F.col("doc_id").alias("a"), "text"), "a")
-    return materialise(with_both.select("a", "text", "b", "other").mapInArrow(check, "a long, b long").distinct(), "ngram-links")
+    links = materialise(with_both.select("a", "text", "b", "other").mapInArrow(check, "a long, b long").distinct(), "ngram-links")
+    discard(pairs, ids, texts)
+    return links
 
 
 def _alike(n: str, m: str):
@@ -169,11 +231,19 @@ def _alike(n: str, m: str):
 
 
 def star_pairs(keyed: DataFrame) -> DataFrame:
-    """(a, b): each document of a key and the smallest of the key, if they share enough keys. ``keyed``: (doc_id, n, keys)."""
+    """(a, b): each document of a key and the centre of the key, if they share enough keys. ``keyed``: (doc_id, n, keys).
+
+    The centre is the document whose own keys are the most common: of copies that were each changed elsewhere that is the one that
+    most others lie next to, be it their source or not. Every step is a sum or a minimum per key or document.
+    """
     each = keyed.select("doc_id", "n", F.explode("keys").alias("key"))
-    centre = each.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("c"), F.max("doc_id").alias("z")).where("c.doc_id < z")
-    met = each.join(centre.select("key", F.col("c.doc_id").alias("a"), F.col("c.n").alias("m")), "key").where((F.col("doc_id") > F.col("a")) & _alike("n", "m"))
-    return met.groupBy("a", F.col("doc_id").alias("b")).agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= SHARED_KEYS)
+    common = each.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
+    each = each.join(common, "key")
+    central = each.groupBy("doc_id").agg(F.sum("docs").alias("central"))
+    each = each.join(central, "doc_id")
+    centre = each.groupBy("key").agg(F.min(F.struct((-F.col("central")).alias("less"), "doc_id", "n")).alias("c"))
+    met = each.join(centre.select("key", F.col("c.doc_id").alias("a"), F.col("c.n").alias("m")), "key").where((F.col("doc_id") != F.col("a")) & _alike("n", "m"))
+    return met.groupBy(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= SHARED_KEYS)
 
 
 def prefix_pairs(prefixed: DataFrame) -> DataFrame:

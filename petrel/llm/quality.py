@@ -22,10 +22,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, VOCABULARY, encoded, pick, pieces
+from .common import LOWER, VOCABULARY, encoded, forget, pick, pieces
 from .sampling import class_sample, collected
 
-PER_CLASS, MOST_SAMPLE = 1500, 4000
+PER_CLASS = 1500
 BUCKETS, FACTORS = 2048, 8
 EPOCHS, STEP, MINIBATCH, DECAY = 30, 0.02, 256, 1e-4
 THRESHOLD = 0.7
@@ -132,10 +132,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> Machine:
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     counts = {r.quality: r.n for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
-    sample = F.broadcast(class_sample(known, "quality", PER_CLASS, 2).limit(MOST_SAMPLE))  # bounded by the limit
+    sample = F.broadcast(class_sample(known, "quality", PER_CLASS, 2 * PER_CLASS))  # some 2 * PER_CLASS ids, by their rate
     d = pick(docs, doc_id="long", text="string", n_chars="long").join(sample, "doc_id")
     buckets = _Buckets()
-    x, y = collected(d, "quality", lambda b: features(b, buckets), MOST_SAMPLE)
+    x, y = collected(d, "quality", lambda b: features(b, buckets))
     return train(x, np.array(y), counts.get(1, 0) / total if total else 0.5)
 
 
@@ -145,6 +145,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     d = pick(docs, doc_id="long", text="string", n_chars="long").withColumn("held_out", held_out(F.col("doc_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         m, known = shared.value, _Buckets()
         for b in pieces(batches, rows=500, most_bytes=8 << 20):
             s = m.score(features(b, known)).astype(np.float64)

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, pick, pieces, publish, scratch
+from .common import filesystem, keep, pick, pieces, publish, scratch
 
 MAGIC, END = b"PTOK0001", b"PTOKEND1"
 ENTRY = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("bytes", "<u4"), ("ids", "<u4")])
@@ -144,14 +144,9 @@ class Encoder:
         return self.all([text], end_id)[0]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The encoder of this process, which later tasks of a worker find warm."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return keep(("encoder", path), lambda: Encoder(path))
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int = 0, sample_docs: int = SAMPLE_DOCS, size: int = DICTIONARY_BYTES) -> bytes:
