@@ -11,6 +11,11 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process, which shares its folders."""
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
 def ship(spark: SparkSession) -> None:
     """Sends the package's sources to the executors, once per application, by way of the shared folder if there is one."""
     context = spark.sparkContext
@@ -21,6 +26,8 @@ def ship(spark: SparkSession) -> None:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f"{root.name}/{f.relative_to(root)}")
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not is_local(spark):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = f"{shared or 'file://' + tempfile.gettempdir()}/petrel/source-{uuid.uuid4().hex}"
     from pyarrow import fs
 
