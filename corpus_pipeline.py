@@ -10,12 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from petrel.llm import decontaminate, langid, mixing, ngram_join, token_files
-from petrel.llm.common import prepare, scratch
+from petrel.llm.common import pick_with_row, prepare, scratch
 from petrel.llm.queries import tokenizer_path
 
-#: Below this score a text's language counts as not identified.
-LEAST_SCORE = 0.3
-
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
@@ -23,32 +20,50 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language is identified: all but texts without a letter and those that no codeword is near to."""
+    """Keeps the documents whose language is identified: those with a letter, unless the decoding is ambiguous and far from every codeword.
+
+    Null and empty texts go; repeated rows are judged each by itself; other columns pass unchanged, whatever their names.
+    """
     prepare(spark)
-    found = langid.identify(docs, langid.learn(docs), whole_rows=True)
-    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & ((F.col("score") >= LEAST_SCORE) | ~F.col("ambiguous"))).select("row.*")
+    return langid.identified(docs, langid.learn(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of linked documents the one with the smallest id."""
+    """Keeps one document of each group of linked documents: the one with the smallest id.
+
+    Rows that share an id are one document, of which the row whose text has the smallest hash stays; a row without id stands for its text, so
+    that equal ones are one document too. Empty texts are linked with nothing. Texts are shuffled only for candidates and for rows that share an id.
+    """
     prepare(spark)
-    groups = ngram_join.join(docs, count=False).where("doc_id <> component_id").select(F.col("doc_id").alias("copy")).distinct()
-    return docs.join(groups, F.col("doc_id") == F.col("copy"), "left_anti")
+    keyed = pick_with_row(docs, doc_id="long", text="string").select("row", "text", F.coalesce("doc_id", F.xxhash64("text")).alias("key"))
+    copies = ngram_join.join(keyed.select(F.col("key").alias("doc_id"), "text"), count=False).where("doc_id <> component_id")
+    copies = copies.select(F.col("doc_id").alias("copy")).distinct()
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("several"))
+    left = keyed.join(copies, F.col("key") == F.col("copy"), "left_anti")
+    once = left.join(shared, F.col("key") == F.col("several"), "left_anti").select("row")
+    first = left.join(shared, F.col("key") == F.col("several"), "left_semi").groupBy("key").agg(F.min_by("row", F.xxhash64("text")).alias("row"))
+    return once.unionByName(first.select("row")).select("row.*")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents without any window of a benchmark item: hit spans exceed the length limit of a window, so the whole document goes."""
+    """Keeps the documents without a hit span over the length limit or hit words over the coverage limit of the operator.
+
+    A document over a limit goes as a whole: what would be left of it is a text with holes. Null texts have no words and stay; rows that share
+    an id are judged each by itself; other columns pass unchanged; without benchmark items every document stays.
+    """
     prepare(spark)
-    return decontaminate.scan(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), whole_rows=True).where("n_hit = 0").select("row.*")
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), whole=True)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, or up to three times."""
+    """Each document as often as the mix takes it: not at all, or up to three times. Texts without words take no part in the
+    budget and follow the hash of their id like others; rows that share an id are taken together; a null source is a source."""
+    prepare(spark)
     return mixing.repeated(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the token files and returns the digest of every document in them."""
+    """Writes the token files and returns the digest of every document in them; a null text has the end id only."""
     prepare(spark)
     folder = scratch(spark, "corpus-tokens")
     return token_files.read(spark, folder, token_files.write(docs, folder, tokenizer_path()))
