@@ -141,7 +141,16 @@ def run_statistics(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, float, int]
     return slots[order].astype(np.uint64), n[order], totals.get(-2, 0) / max(1, totals.get(-1, 0)), bits
 
 
-def prefix_of(runs: np.ndarray, frequent: np.ndarray, counts: np.ndarray, others: float, bits: int = 64) -> tuple[np.ndarray, int]:
+def frequency_of(runs: np.ndarray, frequent: np.ndarray, counts: np.ndarray, bits: int = 64) -> np.ndarray:
+    """In how many documents each run occurs if it is frequent, else 0."""
+    if not len(frequent):
+        return np.zeros(len(runs))
+    slots = runs >> np.uint64(64 - bits)
+    at = np.minimum(np.searchsorted(frequent, slots), len(frequent) - 1)
+    return np.where(frequent[at] == slots, counts[at], 0)
+
+
+def prefix_by(runs: np.ndarray, often: np.ndarray, others: float) -> tuple[np.ndarray, int]:
     """(prefix, l): the l-prefix of the least estimated cost, in the global order (frequency, hash).
 
     The cost, in postings: those written, those read (the other documents of each run), and candidates verified, at a cost that
@@ -149,11 +158,6 @@ def prefix_of(runs: np.ndarray, frequent: np.ndarray, counts: np.ndarray, others
     the sizes that can link, so there are at most (postings read) / (l + 0.04 n) of them.
     """
     n = len(runs)
-    often = np.zeros(n)
-    if len(frequent):
-        slots = runs >> np.uint64(64 - bits)
-        at = np.minimum(np.searchsorted(frequent, slots), len(frequent) - 1)
-        often = np.where(frequent[at] == slots, counts[at], 0)
     order = np.lexsort((runs, often))
     need = -(-PERCENT * n // 100)
     longest = n - need + min(MOST_MATCHES, need)
@@ -165,23 +169,29 @@ def prefix_of(runs: np.ndarray, frequent: np.ndarray, counts: np.ndarray, others
     return runs[order[: lengths[best]]], int(matches[best])
 
 
+def prefix_of(runs: np.ndarray, frequent: np.ndarray, counts: np.ndarray, others: float) -> tuple[np.ndarray, int]:
+    return prefix_by(runs, frequency_of(runs, frequent, counts), others)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, n, a, b, matches, prefix, keys) of each document; t is a hash of its text."""
+    """(doc_id, t, n, a, b, matches, often, prefix, keys) of each document; t is a hash of its text, often its number of frequent runs."""
     shared = docs.sparkSession.sparkContext.broadcast(run_statistics(docs))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        statistics = shared.value
+        frequent, counts, others, slot_bits = shared.value
         hashes = WordHashes()
         bins = np.uint64(KEYS)
         for b in pieces(batches):
-            sizes, prints, matches, prefixes, keys = [], [], [], [], []
+            sizes, prints, matches, often, prefixes, keys = [], [], [], [], [], []
             for t in encoded(b.column("text")):
                 u = shingles(t, hashes)
                 sizes.append(len(u))
                 prints.append(np.frombuffer(xxhash.xxh3_128_digest(u.tobytes()), np.int64))
-                p, m = prefix_of(u, *statistics) if len(u) else (u, 0)
+                f = frequency_of(u, frequent, counts, slot_bits)
+                p, m = prefix_by(u, f, others) if len(u) else (u, 0)
                 matches.append(m)
+                often.append(np.count_nonzero(f))
                 prefixes.append(p)
                 x = np.sort(mixed(u ^ np.uint64(0x5BD1E995)))
                 at = np.unique(x % bins, return_index=True)[1]
@@ -189,11 +199,11 @@ def signatures(docs: DataFrame) -> DataFrame:
             prints = np.stack(prints)
             lists = [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in col])]).astype(np.int32), pa.array(np.concatenate(col).view(np.int64))) for col in (prefixes, keys)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("t"), pa.array(sizes, pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(matches, pa.int32()), *lists],
-                ["doc_id", "t", "n", "a", "b", "matches", "prefix", "keys"],
+                [b.column("doc_id"), b.column("t"), pa.array(sizes, pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(matches, pa.int32()), pa.array(often, pa.int32()), *lists],
+                ["doc_id", "t", "n", "a", "b", "matches", "often", "prefix", "keys"],
             )
 
-    return docs.withColumn("t", F.xxhash64("text")).mapInArrow(sign, "doc_id long, t long, n long, a long, b long, matches int, prefix array<long>, keys array<long>")
+    return docs.withColumn("t", F.xxhash64("text")).mapInArrow(sign, "doc_id long, t long, n long, a long, b long, matches int, often int, prefix array<long>, keys array<long>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -249,15 +259,25 @@ def star_pairs(keyed: DataFrame) -> DataFrame:
 def prefix_pairs(prefixed: DataFrame) -> DataFrame:
     """(a, b): documents of different components whose prefixes share enough runs.
 
-    ``prefixed``: (doc_id, component, n, matches, prefix).
+    ``prefixed``: (doc_id, component, n, matches, often, prefix).
+
+    Copies that were each changed elsewhere share their frequent runs with all others of their group. If two sets hold fewer frequent
+    runs than a link needs, they must share rare ones, and as rare runs come first in the order, a prefix that reaches a frequent run holds
+    all rare ones. So such pairs need not meet at frequent runs at all: those that can link meet at a rare one.
     """
-    post = prefixed.select("doc_id", "component", F.col("n").cast("int").alias("n"), "matches", F.explode("prefix").alias("run"))
-    left, right = (post.select("run", *[F.col(c).alias(c + side) for c in ("doc_id", "component", "n", "matches")]) for side in ("_a", "_b"))
-    met = left.join(right, "run").where((F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b")) & _alike("n_a", "n_b"))
-    # Linked sets share ceil(0.8 / 1.8 * (n_a + n_b)) runs at least. Those beyond the prefix that ends first are at most its set's
-    # rest, ceil(0.8 n) - matches; the others lie in both prefixes.
+    post = prefixed.select("doc_id", "component", F.col("n").cast("int").alias("n"), "matches", "often", F.posexplode("prefix").alias("pos", "run"))
+    post = post.withColumn("frequent", F.col("pos") >= F.col("n") - F.col("often"))
+    columns = ("doc_id", "component", "n", "matches", "often", "frequent")
+    left, right = (post.select("run", *[F.col(c).alias(c + side) for c in columns]) for side in ("_a", "_b"))
+    # Linked sets share ceil(0.8 / 1.8 * (n_a + n_b)) runs at least.
+    least = "(80 * (n_a + n_b) + 179) div 180"
+    can = F.col("doc_id_a") < F.col("doc_id_b")
+    can &= (F.col("component_a") != F.col("component_b")) & _alike("n_a", "n_b")
+    met = left.join(right, "run").where(can & F.expr(f"NOT (frequent_a AND frequent_b) OR least(often_a, often_b) >= {least}"))
+    # Shared runs beyond the prefix that ends first are at most its set's rest, ceil(0.8 n) - matches; the others lie in both prefixes.
     rest = "greatest((80 * n_a + 99) div 100 - matches_a, (80 * n_b + 99) div 100 - matches_b)"
-    need = F.min(F.expr(f"(80 * (n_a + n_b) + 179) div 180 - {rest}"))
+    whole = " AND ".join(f"n_{x} - (80 * n_{x} + 99) div 100 + matches_{x} >= n_{x} - often_{x}" for x in "ab")  # both hold all rare runs
+    need = F.min(F.expr(f"CASE WHEN least(often_a, often_b) < {least} AND {whole} THEN {least} - least(often_a, often_b) ELSE {least} - {rest} END"))
     pairs = met.groupBy(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).agg(F.count(F.lit(1)).alias("shared"), need.alias("need"))
     return pairs.where("shared >= need")
 
@@ -348,7 +368,7 @@ def join(docs: DataFrame, count: bool = True) -> DataFrame:
     stars = verified(star_pairs(named.select("doc_id", "n", "keys").join(heads, "doc_id", "left_semi")), d)
     found = components(stars, "ngram-stars")
     labelled = heads.join(found, heads.doc_id == found.node, "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
-    links = verified(prefix_pairs(named.select("doc_id", "n", "matches", "prefix").join(labelled, "doc_id")), d)
+    links = verified(prefix_pairs(named.select("doc_id", "n", "matches", "often", "prefix").join(labelled, "doc_id")), d)
 
     final = components(stars.union(links).union(same_id.select("a", "b")), "ngram-components")
     columns = ["a", "b", "class_id"]
