@@ -197,6 +197,72 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+#: Bytes whose words are hashed at once.
+HASHED_BYTES = 1 << 20
+_BASE = 0xD6E8FEB86659FD93
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_TABLES: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The first powers of an odd number and of its inverse, modulo 2 ** 64."""
+    if not _TABLES or len(_TABLES[0]) < n:
+        n = max(n, HASHED_BYTES + (1 << 12))
+        made = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, x, np.uint64)]), dtype=np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
+        if n > 2 * HASHED_BYTES:  # for one very long word
+            return made
+        _TABLES[:] = made
+    return _TABLES
+
+
+def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first byte) of every word of some text: a polynomial of its bytes, found by differences of running sums."""
+    x = np.frombuffer(data, np.uint8)
+    space = np.concatenate([[True], _SPACE[x], [True]])
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    start, end = edges[::2], edges[1::2]
+    power, inverse = _powers(len(x))
+    sums = np.cumsum(power[: len(x)] * (x.astype(np.uint64) + np.uint64(1)), dtype=np.uint64)
+    whole = sums[end - 1] - np.where(start > 0, sums[start - 1], np.uint64(0))
+    return mixed(whole * inverse[start] + (end - start).astype(np.uint64) * _MIX[0]), start
+
+
+def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of the words of all texts in turn, words of each text). Works on bounded pieces of the texts, cut at white space."""
+    hashes, counts, held, size = [], [], [], 0
+
+    def flush() -> None:
+        nonlocal held, size
+        if held:
+            h, start = _hashed(b" ".join(held))
+            ends = np.cumsum([len(t) + 1 for t in held])
+            hashes.append(h)
+            counts.append(np.diff(np.searchsorted(start, ends), prepend=0))
+        held, size = [], 0
+
+    for t in texts:
+        t = t or b""
+        if size + len(t) > HASHED_BYTES:
+            flush()
+        if len(t) <= HASHED_BYTES:
+            held.append(t)
+            size += len(t)
+            continue
+        at, n = 0, 0
+        while at < len(t):
+            end = at + HASHED_BYTES
+            while end < len(t) and not _SPACE[t[end]]:
+                end += 1
+            h, _ = _hashed(t[at:end])
+            hashes.append(h)
+            n += len(h)
+            at = end
+        counts.append(np.array([n]))
+    flush()
+    return np.concatenate([np.empty(0, np.uint64), *hashes]), np.concatenate([np.empty(0, np.int64), *counts]).astype(np.int64)
+
+
 def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Hashes of the concatenations of two equally long rows of hashed phrases."""
     return mixed(left * _MIX[0] + right * _MIX[1])

@@ -137,6 +137,93 @@ def test_substring_dedup(corpus, block_bytes):
     assert digest(df.limit(0)).count() == 0
 
 
+def test_word_hashes(monkeypatch):
+    from petrel.llm import common
+
+    r = random.Random(4)
+    some = [None, b"", b" \t", b"a", b"a b", *[" ".join(r.choice(["x", "yy", "\xe9t\xe9", "\n", "\x1c"]) for _ in range(r.randrange(60))).encode() for _ in range(80)], b"z" * 70 + b" a"]
+    by = {}
+    for most in (1 << 20, 50, 7):
+        monkeypatch.setattr(common, "HASHED_BYTES", most)
+        got, n = common.word_hashes(some)
+        words = [(t or b"").split() for t in some]
+        assert n.tolist() == [len(w) for w in words]
+        for w, h in zip([x for w in words for x in w], got.tolist(), strict=True):
+            assert by.setdefault(w, h) == h
+    assert len(set(by.values())) == len(by)
+
+
+def brute_removed(rows):
+    """{(doc_id, text): covered words} by the contract."""
+    seen, out = set(), []
+    for i, t, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        w, gone = WORDS.findall(t or ""), set()
+        for k in range(len(w) - 19):
+            if tuple(w[k : k + 20]) in seen:
+                gone.update(range(k, k + 20))
+            seen.add(tuple(w[k : k + 20]))
+        out.append((i, len(w), len(gone)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 30, 300])
+def test_factors_name_their_sources(corpus, block_bytes):
+    from petrel.llm.substring_dedup import Block, blocked, parse
+
+    rows, df = corpus
+    by = defaultdict(list)
+    for r in blocked(df, block_bytes).collect():
+        by[r.block].append(r)
+    import pyarrow as pa
+
+    words = {}
+    for k, some in by.items():
+        b = Block(pa.table({"doc_id": pa.array([r.doc_id for r in some], pa.int64()), "text": pa.array([r.text for r in some], pa.string())}))
+        words[k] = [w for t in b.texts for w in (t or b"").decode().split()]
+    checked = 0
+    for r in parse(df, block_bytes).select("doc_id", "n_removed", "spans", "factors").collect():
+        texts = [WORDS.findall(t or "") for i, t, *_ in rows if i == r.doc_id]
+        covered = set()
+        for f in r.factors:
+            assert f.length >= 20
+            assert any(t[f.start : f.start + f.length] == words[f.block][f.source : f.source + f.length] for t in texts)
+            covered |= set(range(f.start, f.start + f.length))
+            checked += 1
+        assert len(covered) == r.n_removed and covered == {x for s in r.spans for x in range(s.start, s.start + s.length)}
+    assert checked > 10
+
+
+def test_substring_dedup_of_equal_hashes(monkeypatch):
+    from petrel.llm import substring_dedup
+
+    r = random.Random(9)
+    passage = " ".join(f"p{k}" for k in range(30))
+    rows = [(k, " ".join(f"w{r.randrange(90)}" for _ in range(25)) + (" " + passage if k % 3 == 0 else ""), "en", "s") for k in range(12)]
+    one = substring_dedup.ngrams
+    # the first hash of a phrase says almost nothing; the second is left whole
+    monkeypatch.setattr(substring_dedup, "ngrams", lambda words, n: one(words, n) % np.uint64(3) if n == 20 and not getattr(substring_dedup, "_second", False) else one(words, n))
+    second = substring_dedup._check
+
+    def check(words):
+        substring_dedup._second = True
+        try:
+            return second(words)
+        finally:
+            del substring_dedup._second
+
+    monkeypatch.setattr(substring_dedup, "_check", check)
+    from petrel.llm.substring_dedup import Block
+    import pyarrow as pa
+
+    b = Block(pa.table({"doc_id": [i for i, *_ in rows], "text": [t for _, t, *_ in rows]}))
+    found = substring_dedup.factors_of(b, 0, *[np.empty(0, np.int64)] * 3)
+    gone = np.zeros(b.n, bool)
+    for at, n, *_ in found:
+        gone[at : at + n] = True
+    assert [(i, int(n), int(gone[a : a + n].sum())) for i, a, n in zip(b.ids.tolist(), b.starts, b.lengths, strict=True)] == [x for x in sorted(brute_removed(rows), key=lambda x: x[0])]
+    assert len({int(x) for x in b.phrases}) <= 3 < len(b.first)
+
+
 def test_automaton_against_brute_force():
     from petrel.llm.decontaminate import Automaton
 
