@@ -127,48 +127,48 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
 def earlier_elsewhere(docs: DataFrame) -> DataFrame:
     """(block, place, source_block, source): the indexed phrases of each block that occur earlier in another block, and the earliest place of all.
 
-    ``place`` is the phrase's number in the index of its block, ``source`` the word of the source block at which it begins there.
+    ``place`` is the word of the block at which the phrase of its index begins, ``source`` the word of the source block at which it begins there.
     """
 
     def sent(left: pa.Table, right: pa.Table) -> pa.Table:
-        cols = [np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
+        cols = [np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)]
         if left.num_rows and right.num_rows:
             b = Block(left)
             anchors = np.sort(np.concatenate([np.asarray(c) for c in right["anchor"].chunks]).view(np.uint64))
             mine = b.anchors()
             found = np.flatnonzero(anchors[np.minimum(np.searchsorted(anchors, mine), len(anchors) - 1)] == mine)
             first = b.first[found]
-            place = (np.int64(left["block"][0].as_py()) << np.int64(32)) | found.astype(np.int64)
-            cols = [b.phrases[first].view(np.int64), b.checks[first].view(np.int32), b.ids[b.doc[b.at[first]]], place, b.at[first].astype(np.int32)]
-        return pa.table([pa.array(c) for c in cols], ["phrase", "again", "doc", "place", "at"])
+            place = (np.int64(left["block"][0].as_py()) << np.int64(32)) | b.at[first].astype(np.int64)
+            cols = [b.phrases[first].view(np.int64), b.checks[first].view(np.int32), b.ids[b.doc[b.at[first]]], place]
+        return pa.table([pa.array(c) for c in cols], ["phrase", "again", "doc", "place"])
 
     def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # (phrase, second hash, place and word of the earliest)
+        last = None  # (phrase, second hash, the earliest place)
         for b in batches:
-            phrase, again, place, at = (np.asarray(b.column(x)) for x in ("phrase", "again", "place", "at"))
+            phrase, again, place = (np.asarray(b.column(x)) for x in ("phrase", "again", "place"))
             if not len(phrase):
                 continue
             goes_on = last is not None and (phrase[0], again[0]) == last[:2]
             same = np.concatenate([[goes_on], (phrase[1:] == phrase[:-1]) & (again[1:] == again[:-1])])
             begin = np.maximum.accumulate(np.where(same, -1, np.arange(len(same))))
-            held = begin < 0
-            source, word = np.where(held, last[2] if goes_on else 0, place[begin]), np.where(held, last[3] if goes_on else 0, at[begin])
-            last = (phrase[-1], again[-1], source[-1], word[-1])
+            source = np.where(begin < 0, last[2] if goes_on else 0, place[begin])
+            last = (phrase[-1], again[-1], source[-1])
             mine, from_ = place[same], source[same]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x.astype(np.int32)) for x in (mine >> 32, mine & 0xFFFFFFFF, from_ >> 32, word[same])], ["block", "place", "source_block", "source"]
+                [pa.array(x.astype(np.int32)) for x in (mine >> 32, mine & 0xFFFFFFFF, from_ >> 32, from_ & 0xFFFFFFFF)], ["block", "place", "source_block", "source"]
             )
 
-    phrases = docs.groupBy("block").cogroup(shared_anchors(docs).groupBy("block")).applyInArrow(sent, "phrase long, again int, doc long, place long, at int")
-    dealt = phrases.repartition("phrase").sortWithinPartitions("phrase", "again", "doc", "place").select("phrase", "again", "place", "at")
+    phrases = docs.groupBy("block").cogroup(shared_anchors(docs).groupBy("block")).applyInArrow(sent, "phrase long, again int, doc long, place long")
+    dealt = phrases.repartition("phrase").sortWithinPartitions("phrase", "again", "doc", "place").select("phrase", "again", "place")
     return dealt.mapInArrow(later, "block int, place int, source_block int, source int")
 
 
 def factors_of(b: Block, block: int, places: np.ndarray, source_block: np.ndarray, source: np.ndarray) -> np.ndarray:
     """The factors of the block's documents: rows (first word in the block, length, source block, first word of the source).
 
-    ``places`` of the index occur earlier elsewhere, first at the given sources.
+    The phrases that begin at ``places`` and are in the index occur earlier elsewhere, first at the given sources.
     """
+    places = b.which[np.searchsorted(b.at, places)] if len(places) else places
     fresh = np.zeros(len(b.at), bool)
     fresh[b.first] = True  # the first of its kind here
     from_block, from_word = np.full(len(b.first), block, np.int64), b.at[b.first].astype(np.int64)
