@@ -22,17 +22,18 @@ class CleanConfig:
 
 #: Reasons in the order of the steps.
 REASONS = ["null", "placeholder", "rare_activity", "rare_object", "duplicate"]
+_KEY = ["model", "activity", "object_type", "event_id"]
 
 
 def _empty(c: str) -> Column:
     return strip(F.coalesce(F.col(c), F.lit(""))) == ""
 
 
-def tagged(events: DataFrame, config: CleanConfig = CleanConfig()) -> DataFrame:
-    """``events`` with names normalised, raw names kept, and ``drop_reason``: the first step that drops the row, or null.
+def _without_duplicates(events: DataFrame, config: CleanConfig) -> DataFrame:
+    """``tagged`` up to the frequency steps.
 
-    The frequency steps count the rows that are still in; each is one aggregation joined back, and is left out of the
-    plan if its threshold is off. Counts per name are small, so the join is a broadcast where its size allows.
+    Both frequency steps need counts of pairs of names only: one aggregation of the log gives them, and what is rare follows from that small
+    table. So the log is read twice, once to count and once to tag, however many steps are on.
     """
     reason = F.when(_empty("activity") | _empty("object_type"), "null")
     if config.reject_placeholders:
@@ -40,13 +41,22 @@ def tagged(events: DataFrame, config: CleanConfig = CleanConfig()) -> DataFrame:
     t = events.withColumn("drop_reason", reason)
     for c in ("activity", "object_type"):
         t = t.withColumn(f"raw_{c}", F.col(c)).withColumn(c, F.when(F.col("drop_reason").isNull(), clean_text(F.col(c), config.title_case)).otherwise(F.col(c)))
-    for name, column, least in (("rare_activity", "activity", config.min_activity_freq), ("rare_object", "object_type", config.min_object_freq)):
-        if least > 1:
-            rare = t.where("drop_reason is null").groupBy("model", column).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < least)
-            t = t.join(rare, ["model", column], "left").withColumn("drop_reason", F.when(F.col("drop_reason").isNull() & F.col("_n").isNotNull(), name).otherwise(F.col("drop_reason"))).drop("_n")
-    if config.deduplicate:
-        t = _mark_duplicates(t)
-    return t
+    if config.min_activity_freq <= 1 and config.min_object_freq <= 1:
+        return t
+    pairs = t.where("drop_reason is null").groupBy("model", "activity", "object_type").agg(F.count(F.lit(1)).alias("_n"))
+    of = lambda column: F.sum("_n").over(Window.partitionBy("model", column))
+    pairs = pairs.withColumn("_rare", F.when(of("activity") < config.min_activity_freq, "rare_activity"))
+    left = F.sum(F.when(F.col("_rare").isNull(), F.col("_n"))).over(Window.partitionBy("model", "object_type"))
+    pairs = pairs.withColumn("_rare", F.when(F.col("_rare").isNull() & (left < config.min_object_freq), "rare_object").otherwise(F.col("_rare")))
+    rare = pairs.where("_rare is not null").select("model", "activity", "object_type", "_rare")
+    t = t.join(rare, ["model", "activity", "object_type"], "left")
+    return t.withColumn("drop_reason", F.when(F.col("drop_reason").isNull(), F.col("_rare")).otherwise(F.col("drop_reason"))).drop("_rare")
+
+
+def tagged(events: DataFrame, config: CleanConfig = CleanConfig()) -> DataFrame:
+    """``events`` with names normalised, raw names kept, and ``drop_reason``: the first step that drops the row, or null."""
+    t = _without_duplicates(events, config)
+    return _mark_duplicates(t) if config.deduplicate else t
 
 
 def _mark_duplicates(t: DataFrame) -> DataFrame:
@@ -55,7 +65,7 @@ def _mark_duplicates(t: DataFrame) -> DataFrame:
     The key holds the event's id, so its groups are of the size of an event; a log whose ids are all equal is the
     exception, for which the first row is found by an aggregation that combines before the shuffle.
     """
-    key = ["model", "activity", "object_type", "event_id"]
+    key = _KEY
     first = t.where("drop_reason is null").groupBy(*key).agg(F.min(F.struct("source_row", "pos")).alias("_first"))
     same = [F.col(f"t.{c}").eqNullSafe(F.col(f"f.{c}")) for c in key]
     joined = t.alias("t").join(first.alias("f"), same[0] & same[1] & same[2] & same[3], "left")
@@ -64,18 +74,37 @@ def _mark_duplicates(t: DataFrame) -> DataFrame:
 
 
 def clean(events: DataFrame, config: CleanConfig = CleanConfig()) -> DataFrame:
-    """The rows that stay, normalised."""
-    return tagged(events, config).where("drop_reason is null").select(*events.columns)
+    """The rows that stay, normalised. Of rows of one key the first is found by an aggregation that combines before the shuffle, so neither
+    a join nor a group in one task is needed."""
+    t = _without_duplicates(events, config).where("drop_reason is null").select(*events.columns)
+    if not config.deduplicate:
+        return t
+    rest = [c for c in t.columns if c not in _KEY]
+    first = t.groupBy(*_KEY).agg(F.min_by(F.struct(*rest), F.struct("source_row", "pos")).alias("_first"))
+    return first.select(*[F.col(c) if c in _KEY else F.col(f"_first.{c}").alias(c) for c in t.columns])
+
 
+def report(events: DataFrame, config: CleanConfig = CleanConfig(), models: DataFrame | None = None) -> DataFrame:
+    """One row a model: rows in and out, drops by reason, altered names, warnings. ``models``: all to report on, so that one without any
+    record has a row too.
 
-def report(events: DataFrame, config: CleanConfig = CleanConfig()) -> DataFrame:
-    """One row a model: rows in and out, drops by reason, altered names, warnings. One pass over the tagged rows."""
-    t = tagged(events, config)
-    counts = [F.count_if(F.col("drop_reason") == r).alias(f"dropped_{r}") for r in REASONS]
+    Duplicates are counted, not marked: rows are summed by key, and all but one of a key are duplicates.
+    """
+    t = _without_duplicates(events, config)
     survived = ~F.coalesce(F.col("drop_reason").isin("null", "placeholder"), F.lit(False))
     altered = [F.count_if(survived & (strip(F.col(f"raw_{c}")) != F.col(c))).alias(f"altered_{c}") for c in ("activity", "object_type")]
+    event = F.when(F.col("drop_reason").isNull(), F.col("event_id")).alias("event_id")  # other rows need not be told apart
+    each = t.groupBy("model", "drop_reason", "activity", "object_type", event).agg(F.count(F.lit(1)).alias("n"), *altered)
+    kept = F.col("drop_reason").isNull()
+    again = F.sum(F.when(kept, F.col("n") - 1).otherwise(0)) if config.deduplicate else F.lit(0).cast("long")
+    counts = [(again if r == "duplicate" else F.sum(F.when(F.col("drop_reason") == r, F.col("n")).otherwise(0))).alias(f"dropped_{r}") for r in REASONS]
     names = [F.array_sort(F.collect_set(F.when(F.col("drop_reason") == r, F.col(c)))).alias(f"names_{r}") for r, c in (("rare_activity", "activity"), ("rare_object", "object_type"))]
-    out = t.groupBy("model").agg(F.count(F.lit(1)).alias("rows_in"), F.count_if(F.col("drop_reason").isNull()).alias("rows_out"), *counts, *altered, *names)
+    stay = F.count_if(kept) if config.deduplicate else F.sum(F.when(kept, F.col("n")).otherwise(0))
+    sums = [F.sum(f"altered_{c}").alias(f"altered_{c}") for c in ("activity", "object_type")]
+    out = each.groupBy("model").agg(F.sum("n").alias("rows_in"), stay.alias("rows_out"), *counts, *sums, *names)
+    if models is not None:
+        out = models.select("model").join(out, "model", "left").na.fill(0)
+        out = out.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("names_rare_activity", "names_rare_object")})
     out = out.withColumn("total_dropped", F.col("rows_in") - F.col("rows_out"))
     shown = lambda c: F.concat(F.array_join(F.slice(c, 1, 5), ", "), F.when(F.size(c) > 5, ", ...").otherwise(""))
     warnings = F.array(

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .metrics import band, score
 
-#: Metrics of the comparison table, in order.
-COMPARED = ["otc", "aorc", "oc", "oid", "sar", "afo_norm", "re_norm", "oii", "composite"]
+#: Metrics of the comparison table, in order; others can be named.
+COMPARED = ["otc", "aorc", "oid", "sar", "afo", "re", "oc", "composite"]
 
 
 def long(metrics: DataFrame, names: list[str] = COMPARED) -> DataFrame:
@@ -17,10 +17,14 @@ def long(metrics: DataFrame, names: list[str] = COMPARED) -> DataFrame:
 
 
 def table(metrics: DataFrame, models: list[str], names: list[str] = COMPARED) -> DataFrame:
-    """A row per metric, a column per model (named by its first 14 characters); the models are given, so nothing is collected."""
+    """A row per metric, a column per model (named by its first 14 characters, and a number where those are taken); the models are given, so nothing is collected."""
+    heads: list[str] = []
+    for m in models:
+        taken = heads.count(m[:14])
+        heads.append(m[:14] if not taken else f"{m[:12]}~{len(heads)}")
     wide = long(metrics, names).groupBy("metric").pivot("model", models).agg(F.first("value"))
     order = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("metric"))
-    return wide.orderBy(order).select("metric", *[F.col(f"`{m}`").alias(m[:14]) for m in models])
+    return wide.orderBy(order).select("metric", *[F.col(f"`{m}`").alias(h) for m, h in zip(models, heads, strict=True)])
 
 
 def ranking(metrics: DataFrame) -> DataFrame:
@@ -34,5 +38,5 @@ def ranking(metrics: DataFrame) -> DataFrame:
 
 
 def bands(metrics: DataFrame) -> DataFrame:
-    """(model, percent, level)."""
-    return metrics.select("model", score(F.col("composite")).alias("percent")).withColumn("level", band(F.col("percent")))
+    """(model, percent, level, colour, description)."""
+    return metrics.select("model", score(F.col("composite")).alias("percent")).select("*", *[band(F.col("percent"), k).alias(c) for k, c in enumerate(("level", "colour", "description"))])

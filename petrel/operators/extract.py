@@ -54,8 +54,8 @@ def orphans(support: DataFrame, min_support: int = 1) -> DataFrame:
     return out
 
 
-def report(events: DataFrame, config: ExtractConfig = ExtractConfig()) -> DataFrame:
-    """One row a model: pairs found, kept and suppressed, orphan names, warnings."""
+def report(events: DataFrame, config: ExtractConfig = ExtractConfig(), models: DataFrame | None = None) -> DataFrame:
+    """One row a model: pairs found, kept and suppressed, orphan names, warnings. ``models``: as in ``extract``."""
     s = relation_support(events)
     kept = F.col("support") >= config.min_relation_support
     totals = s.groupBy("model").agg(
@@ -66,14 +66,17 @@ def report(events: DataFrame, config: ExtractConfig = ExtractConfig()) -> DataFr
         *[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("name")))).alias(f"orphan_{n}") for k, n in (("activity", "activities"), ("object_type", "objects"))]
     )
     out = totals.join(lost, "model", "left")
+    if models is not None:
+        out = models.select("model").join(out, "model", "left").na.fill(0, ["records", "pairs", "relations", "suppressed"])
     none = F.array().cast("array<string>")
-    out = out.withColumns({c: F.coalesce(c, none) for c in ("orphan_activities", "orphan_objects")})
+    out = out.withColumns({c: F.coalesce(c, none) for c in ("orphan_activities", "orphan_objects", "suppressed_pairs")})
     shown = lambda c: F.concat(F.array_join(F.slice(c, 1, 5), ", "), F.when(F.size(c) > 5, ", ...").otherwise(""))
     warnings = F.array(
+        F.when(F.col("records") == 0, F.lit("the log is empty: no model")),
         F.when(F.col("suppressed") > 0, F.concat("suppressed", F.lit(" relations below the least support: "), shown("suppressed_pairs"))),
         F.when(F.size("orphan_activities") > 0, F.concat(F.lit("activities without a relation: "), shown("orphan_activities"))),
         F.when(F.size("orphan_objects") > 0, F.concat(F.lit("object types without a relation: "), shown("orphan_objects"))),
-        F.when(F.col("relations") == 0, F.lit("no relation survived")),
+        F.when((F.col("records") > 0) & (F.col("relations") == 0), F.lit("no relation survived")),
     )
     return out.withColumn("warnings", F.array_compact(warnings)).drop("suppressed_pairs")
 

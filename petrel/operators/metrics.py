@@ -13,6 +13,8 @@ from .extract import Model
 
 #: Weights of the composite.
 WEIGHTS = {"oid": 0.25, "sar": 0.25, "afo_norm": 0.25, "re_norm": 0.25}
+#: Other names of the weights.
+WEIGHT_NAMES = {"w_oid": "oid", "w_sar": "sar", "w_afo": "afo_norm", "w_re": "re_norm"}
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -42,7 +44,8 @@ def metrics(m: Model, weights: dict[str, float] | None = None, rounding: Callabl
 
     ``weights`` override the defaults by name; unknown names are ignored and nothing is normalised.
     """
-    w = {k: float((weights or {}).get(k, v)) for k, v in WEIGHTS.items()}
+    given = {WEIGHT_NAMES.get(k, k): v for k, v in (weights or {}).items()}
+    w = {k: float(given.get(k, v)) for k, v in WEIGHTS.items()}
     c, r = F.col, rounding
     out = counts(m, with_diameter)
     pairs = c("otc") * (c("otc") - 1) / F.lit(2)
@@ -78,12 +81,18 @@ def score(composite: Column) -> Column:
     return F.floor(F.least(F.lit(100.0), composite * 100) * 10 + 0.5).cast("double") / F.lit(10.0)
 
 
-#: Upper bounds of the bands.
-BANDS = [(25, "Low"), (50, "Medium"), (75, "High")]
+#: Upper bounds of the bands, their names, colours and descriptions.
+BANDS = [
+    (25, "Low", "#2ECC71", "Few cross-object dependencies"),
+    (50, "Medium", "#F39C12", "Moderate inter-object coordination"),
+    (75, "High", "#E67E22", "Dense cross-object interactions"),
+    (None, "Very High", "#E74C3C", "Highly coupled, many shared activities"),
+]
 
 
-def band(percent: Column) -> Column:
+def band(percent: Column, part: int = 0) -> Column:
+    """The name (0), colour (1) or description (2) of the band of a percentage."""
     out = F
-    for top, name in BANDS:
-        out = out.when(percent < top, name)
-    return out.otherwise("Very High")
+    for top, *said in BANDS[:-1]:
+        out = out.when(percent < top, said[part])
+    return out.otherwise(BANDS[-1][1 + part])

@@ -12,6 +12,11 @@ from . import graph
 from .extract import Model, integrity_violations
 
 MAX_DENSITY = 0.9
+#: Numbers of the rules by the code of their findings.
+RULES = {
+    "NO_OBJECTS": "V1", "NO_ACTIVITIES": "V1", "NO_RELATIONS": "V1", "ISOLATED_ACTIVITIES": "V3", "ISOLATED_OBJECTS": "V4", "SINGLE_OBJECT": "V5",
+    "NO_INTERACTION": "V6", "DENSE": "V7", "DENSITY": "V7", "SINGLE_ACTIVITY": "V8",
+}
 
 
 def statistics(m: Model) -> DataFrame:
@@ -35,7 +40,10 @@ def statistics(m: Model) -> DataFrame:
 
 
 def findings(m: Model, max_density: float = MAX_DENSITY) -> DataFrame:
-    """(model, seq, level, code, message). Rules in order; the last, "all clear", holds if no other does."""
+    """(model, seq, rule, level, code, message). Rules in order; the last, "all clear", holds if no other does.
+
+    Relation ends that are not declared are a finding each, so a model's findings are rows, never a list.
+    """
     c = F.col
     shown = lambda x: F.concat(F.array_join(F.slice(x, 1, 5), ", "), F.when(F.size(x) > 5, ", ...").otherwise(""))
     whole = (c("n_o") > 0) & (c("n_a") > 0)
@@ -45,7 +53,6 @@ def findings(m: Model, max_density: float = MAX_DENSITY) -> DataFrame:
         ("ERROR", "NO_OBJECTS", c("n_o") == 0, F.lit("the model has no object types")),
         ("ERROR", "NO_ACTIVITIES", c("n_a") == 0, F.lit("the model has no activities")),
         ("ERROR", "NO_RELATIONS", c("n_r") == 0, F.lit("the model has no relations")),
-        ("ERROR", "UNKNOWN_ENDS", c("n_bad") > 0, F.concat(c("n_bad").cast("string"), F.lit(" relation ends are not declared"))),
         ("WARNING", "ISOLATED_ACTIVITIES", F.size("isolated_activity") > 0, F.concat(F.lit("activities without relation: "), shown("isolated_activity"))),
         ("WARNING", "ISOLATED_OBJECTS", F.size("isolated_object_type") > 0, F.concat(F.lit("object types without relation: "), shown("isolated_object_type"))),
         ("WARNING", "SINGLE_OBJECT", c("n_o") == 1, F.lit("the model has a single object type")),
@@ -54,11 +61,15 @@ def findings(m: Model, max_density: float = MAX_DENSITY) -> DataFrame:
         ("INFO", "DENSITY", whole & (density <= max_density), said),
         ("WARNING", "SINGLE_ACTIVITY", c("n_a") == 1, F.lit("the model has a single activity")),
     ]
-    held = [F.when(when, F.struct(F.lit(k + 1).alias("seq"), F.lit(level).alias("level"), F.lit(code).alias("code"), text.alias("message"))) for k, (level, code, when, text) in enumerate(rules)]
-    clear = F.struct(F.lit(len(rules) + 1).alias("seq"), F.lit("INFO").alias("level"), F.lit("ALL_CLEAR").alias("code"), F.lit("no finding").alias("message"))
+    held = [F.when(when, F.struct(F.lit(k + 1).alias("seq"), F.lit(RULES[code]).alias("rule"), F.lit(level).alias("level"), F.lit(code).alias("code"), text.alias("message"))) for k, (level, code, when, text) in enumerate(rules)]
+    clear = F.struct(F.lit(len(rules) + 1).alias("seq"), F.lit("V0").alias("rule"), F.lit("INFO").alias("level"), F.lit("ALL_CLEAR").alias("code"), F.lit("no finding").alias("message"))
     found = F.array_compact(F.array(*held))
-    found = F.when(F.size(found) > 0, found).otherwise(F.array(clear))
-    return statistics(m).select("model", F.explode(found).alias("f")).select("model", "f.*")
+    found = F.when((F.size(found) > 0) | (c("n_bad") > 0), found).otherwise(F.array(clear))
+    out = statistics(m).select("model", F.explode(found).alias("f")).select("model", "f.*")
+    kind = F.when(c("missing") == "activity", "activity").otherwise("object type")
+    said = F.concat(F.lit("the relation of "), "activity", F.lit(" and "), "object_type", F.lit(" names an unknown "), kind)
+    bad = integrity_violations(m).select("model", F.lit(4).alias("seq"), F.lit("V2").alias("rule"), F.lit("ERROR").alias("level"), F.lit("UNKNOWN_ENDS").alias("code"), said.alias("message"))
+    return out.unionByName(bad)
 
 
 def is_valid(found: DataFrame) -> DataFrame:

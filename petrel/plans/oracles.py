@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from ..operators.compare import COMPARED
 from ..schema import PLACEHOLDERS
 from ..sources import samples, tables
 
@@ -95,7 +94,7 @@ dist AS (SELECT s, t, min(d) AS d FROM reach GROUP BY ALL),
 comp AS (SELECT 'tpch' AS model, s AS object_type, min(t) AS component, count(*) AS size, max(d) AS eccentricity FROM dist GROUP BY s)"""
 
 _WIDE = "model, otc, n_activities, aorc, n_edges, oc, oid, sar, afo, afo_norm, re, re_norm, oii, composite"
-_LONG = " UNION ALL ".join(f"SELECT model, '{c}' AS metric, CAST({c} AS DOUBLE) AS value FROM met" for c in COMPARED)
+_LONG = " UNION ALL ".join(f"SELECT model, '{c}' AS metric, CAST({c} AS DOUBLE) AS value FROM met" for c in ("otc", "aorc", "oid", "sar", "afo", "re", "oc", "composite"))
 
 
 def _sample_models() -> str:
@@ -177,7 +176,10 @@ def oracle_sql() -> dict[str, str]:
         "comparison_long": f"WITH {_MARKET}, {_METRICS} {_LONG}",
         "comparison_rank": f'WITH {_MARKET}, {_METRICS} SELECT CAST(row_number() OVER (ORDER BY composite DESC, model) AS INTEGER) AS "rank", model, composite FROM met',
         "complexity_band": f"""WITH {_MARKET}, {_METRICS}, p AS (SELECT model, floor(least(100.0, composite * 100) * 10 + 0.5) / 10.0 AS percent FROM met)
-            SELECT model, percent, CASE WHEN percent < 25 THEN 'Low' WHEN percent < 50 THEN 'Medium' WHEN percent < 75 THEN 'High' ELSE 'Very High' END AS level FROM p""",
+            SELECT model, percent, CASE WHEN percent < 25 THEN 'Low' WHEN percent < 50 THEN 'Medium' WHEN percent < 75 THEN 'High' ELSE 'Very High' END AS level,
+              CASE WHEN percent < 25 THEN '#2ECC71' WHEN percent < 50 THEN '#F39C12' WHEN percent < 75 THEN '#E67E22' ELSE '#E74C3C' END AS colour,
+              CASE WHEN percent < 25 THEN 'Few cross-object dependencies' WHEN percent < 50 THEN 'Moderate inter-object coordination' WHEN percent < 75 THEN 'Dense cross-object interactions'
+                ELSE 'Highly coupled, many shared activities' END AS description FROM p""",
         "sample_models_metrics": _sample_models(),
         "log_summary": f"""WITH {_NOISY} SELECT model, count(*) AS records, count(DISTINCT activity) AS activities, count(DISTINCT object_type) AS object_types,
             count(DISTINCT (activity, object_type)) AS relations FROM noisy GROUP BY model""",

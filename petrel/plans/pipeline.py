@@ -17,7 +17,7 @@ from ..sources import files
 
 @dataclass
 class Result:
-    """The tables of a run, keyed by ``model``; nothing is computed before it is asked for."""
+    """The tables of a run, keyed by ``model``. Metrics are computed and kept, the other tables when they are asked for."""
 
     raw: DataFrame
     events: DataFrame
@@ -51,17 +51,28 @@ class Pipeline:
         return self.run_many([(source, name)])
 
     def run_many(self, sources: list[tuple[object, str]]) -> Result:
-        """All logs as one job: their events are united under ``model`` and every later step groups by it."""
+        """All logs as one job: their events are united under ``model`` and every later step groups by it.
+
+        Logs stay apart when their names are equal: the second "D" is the model "D (2)". The model and its metrics, a few rows a log, are computed here and
+        kept; ``elapsed_seconds`` is the time from reading to these metrics.
+        """
         began = time.perf_counter()
-        parsed = [files.parse(self.spark, s, n) for s, n in sources]
+        names: list[str] = []
+        for _, n in sources:
+            key, k = n, 2
+            while key in names:
+                key, k = f"{n} ({k})", k + 1
+            names.append(key)
+        parsed = [files.parse(self.spark, s, n) for (s, _), n in zip(sources, names, strict=True)]
         raw = reduce(DataFrame.unionByName, parsed)
-        names = [n for _, n in sources]
         models = self.spark.createDataFrame([(n, k) for k, n in enumerate(names)], "model string, seq int")
         events = clean.clean(raw, self.cleaning)
-        model = extract.extract(events, self.extraction, models)
+        model = extract.extract(events, self.extraction, models).cached()
+        measured = metrics.exact_metrics(model, self.weights).cache()
+        measured.count()
         return Result(
-            raw, events, model, clean.report(raw, self.cleaning), extract.report(events, self.extraction), validate.findings(model, self.max_density),
-            metrics.exact_metrics(model, self.weights), names, round(time.perf_counter() - began, 3),
+            raw, events, model, clean.report(raw, self.cleaning, models), extract.report(events, self.extraction, models), validate.findings(model, self.max_density),
+            measured, names, round(time.perf_counter() - began, 3),
         )
 
     def compare(self, *results: Result) -> DataFrame:

@@ -6,7 +6,7 @@ present null reads as the text "None" (and is later dropped as a placeholder), a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import split_objects, strip
@@ -59,20 +59,16 @@ def from_dicts(spark: SparkSession, rows: list[dict], model: str) -> DataFrame:
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """``df`` with a dense 0-based ``source_row`` in input order, without a single-task window.
+    """``df`` with a dense 0-based ``source_row`` in input order.
 
-    Rows are counted per partition, which is one small aggregation; a row's number is its place in the partition after the rows before.
+    A row's number is its place in its partition after the rows of the partitions before. These are counted by one small aggregation; its result,
+    a row per partition, is what the window runs over and what is sent to the rows.
     """
     at = df.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    sizes = [r for r in at.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.min("_m").alias("first")).orderBy("_p").collect()]
-    offset, before = F.lit(0).cast("long"), 0
-    pairs = []
-    for r in sizes:  # one entry per partition
-        pairs += [F.lit(r["_p"]), F.lit(before - r["first"])]
-        before += r["n"]
-    if pairs:
-        offset = F.try_element_at(F.create_map(*pairs), F.col("_p")).cast("long")
-    return at.withColumn("source_row", F.col("_m") + offset).drop("_p", "_m")
+    sizes = at.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.min("_m").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(F.col("_p").alias("_of"), (before - F.col("first")).alias("_offset"))
+    return at.join(F.broadcast(offsets), F.col("_p") == F.col("_of")).withColumn("source_row", F.col("_m") + F.col("_offset")).drop("_p", "_m", "_of", "_offset")
 
 
 def from_dataframe(df: DataFrame, model: str) -> DataFrame:
