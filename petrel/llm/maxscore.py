@@ -3,9 +3,10 @@
 A vector is a document, a dimension is a term and the quantised component its weight. Within a shard of candidates,
 postings are one array per dimension. A query bounds each of its terms by the largest product that any candidate of the shard can
 give it (weights may be negative, so a bound is taken from the largest or the smallest weight). Terms are ordered by how far they can
-lift or lower a score; the shortest tail whose bounds together cannot carry a candidate over the k-th best score found so far is
+lift or lower a score; the longest tail whose bounds together stay below the k-th best score known is
 non-essential. Essential postings are traversed for all candidates; the others are probed, a few
-terms at a time, only for candidates that remain competitive. The best k of each shard are merged.
+terms at a time, only for candidates that remain competitive. What is known rises with every step: a candidate's partial score and the lower bounds of
+the terms it lacks are a score that it reaches at least, and the k-th best of these is the next threshold. The best k of each shard are merged.
 
 Queries are a stated set and are held against all candidates in cells of (shard, block of queries), each of bounded
 size, so no task needs all of either; a cell gives back k rows a query.
@@ -21,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import pick
@@ -83,7 +84,8 @@ def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors:
         terms = np.argsort(-(upper - lower), kind="stable")
         terms = terms[q[terms] != 0]
         upper, weight = upper[terms], q[terms]
-        rest = np.concatenate([np.cumsum(upper[::-1])[::-1], [0]])  # what the terms from here on can still add
+        rest = np.concatenate([np.cumsum(upper[::-1])[::-1], [0]])  # what the terms from here on can still add at most
+        least = np.concatenate([np.cumsum(lower[terms][::-1])[::-1], [0]])  # and at least
         others = ids != query_id
         # The first threshold: the k-th best of a few candidates, scored in full.
         some = np.flatnonzero(others[seed])
@@ -92,14 +94,20 @@ def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors:
         alive, partial, done = np.flatnonzero(others), None, 0
         while done < len(terms):
             if partial is None:
-                # Essential terms: from the first whose tail alone cannot reach the threshold, everything is non-essential.
-                essential = len(terms) if theta is None else max(1, int(np.argmax(rest < theta))) if (rest < theta).any() else len(terms) // 2 or 1
+                # Essential terms: up to the first whose tail alone stays below the threshold. Where no tail does, as without a threshold that
+                # counts, the first few terms are taken for a start.
+                below = np.flatnonzero(rest[:-1] < theta) if theta is not None else []
+                essential = max(1, int(below[0])) if len(below) else min(PROBE, len(terms))
                 partial = weight[:essential] @ postings[terms[:essential]]
                 partial, done = partial[alive], essential
             else:
                 part = terms[done : done + PROBE]
                 partial = partial + weight[done : done + len(part)] @ postings[part][:, alive] if len(alive) * 4 > len(ids) else partial + vectors[np.ix_(alive, part)] @ weight[done : done + len(part)]
                 done += len(part)
+            if len(alive) > k:
+                known = partial + least[done]
+                kth = np.partition(known, len(known) - k)[len(known) - k]
+                theta = kth if theta is None else max(theta, kth)
             if theta is not None:
                 keep = partial + rest[done] >= theta
                 alive, partial = alive[keep], partial[keep]
@@ -136,11 +144,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
         cols = list(zip(*got, strict=True)) or [(), (), ()]
         return pa.table([pa.array(x, pa.int64()) for x in cols], ["query_id", "vec_id", "score"])
 
-    # One row a query, cell and hit; those of a query are merged by keeping the best k of what each task has seen.
+    # One row a query, cell and hit. A task keeps the best k of each query of what it has made before anything is shuffled, and the sorted rows of a
+    # query are then ranked as a stream.
     hits = q.groupBy("s", "b").cogroup(c.groupBy("s", "b")).applyInArrow(cell, OUT)
-    merged = hits.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id"))), 1, k).alias("best"))
-    ranked = merged.select("query_id", F.posexplode("best").alias("pos", "hit"))
-    return ranked.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.less")).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def every(n: int = EVERY) -> Column:
