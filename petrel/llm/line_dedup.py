@@ -6,7 +6,7 @@ after trimming white space; block-level markup ends a line, as a line feed does.
 
 Only 128-bit line hashes are shuffled, once per page and line and summed before the shuffle. What is dropped of a host
 is bounded: lines on more than ``ratio`` of its pages are at most (lines a page) / ratio, so they come back to the
-pages as one list a host. Pages of a large host are not gathered: its list is joined to each of them.
+pages as one list a host. Pages of a large host are not gathered: each host's list is there ``SALTS`` times, and a page meets one of them by its hash.
 
 Defined results: null html has no lines and an empty result text; a null or hostless url belongs to the host "" and
 counts like any other; empty lines are neither counted nor kept; a line repeated in a page counts once but is dropped everywhere in it;
@@ -22,6 +22,8 @@ from .common import pick
 
 #: A line on more than this share of a host's pages, and on at least so many of them, is boilerplate.
 RATIO, LEAST_PAGES = 0.3, 3
+#: Tasks that the pages of a host are dealt to at least, where pages are shuffled at all.
+SALTS = 16
 #: Ends a line: a line feed, or a tag of a block (the tag itself is no part of a line).
 BREAK = r"\n|</?(?:p|div|nav|ul|ol|li|footer|header|article|section|aside|main|h[1-6]|br|tr|td|th|table|title|head|body|html|script|style|form|option|select)(?:[ \t\n/][^<>]*)?>"
 _SPACE = " \t\n\x0b\x0c\r"
@@ -53,7 +55,9 @@ def dedup(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES
     lined = p.select("page_id", host_of(F.col("url")).alias("host"), lines_of(F.col("html")).alias("lines"))
     hashed = F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))
     drop = boilerplate(lined.select("host", hashed.alias("hashes")), ratio, least_pages)
-    both = lined.join(drop.withColumnRenamed("host", "of"), F.col("host") == F.col("of"), "left")
+    drop = drop.select(F.col("host").alias("of"), "dropped", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+    salt = F.pmod(F.xxhash64("page_id", F.size("lines")), F.lit(SALTS)).cast("int")
+    both = lined.join(drop, (F.col("host") == F.col("of")) & (salt == F.col("part")), "left")
     keep = F.filter("lines", lambda x: ~F.array_contains("dropped", F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))))
     left = F.when(F.col("dropped").isNull(), F.col("lines")).otherwise(keep)
     out = both.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), left.alias("left"))
