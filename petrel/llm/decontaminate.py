@@ -368,3 +368,20 @@ def digest(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+QUERY_SQL = r"""
+WITH it AS (
+  SELECT item_id, words, least({window}, len(words)) AS n FROM (
+    SELECT item_id, regexp_extract_all({lower}, '{word}') AS words FROM benchmark WHERE item_id IS NOT NULL) WHERE len(words) > 0),
+w AS (SELECT DISTINCT item_id, n, array_to_string(words[i : i + n - 1], ' ') AS g FROM it, unnest(range(1, len(words) - n + 2)) t(i)),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({lower}, '{word}') AS words FROM documents),
+dg AS (
+  SELECT r, n, i, array_to_string(words[i : i + n - 1], ' ') AS g
+  FROM (SELECT r, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM it))),
+hits AS (SELECT r, i, dg.n, item_id FROM dg JOIN w ON dg.n = w.n AND dg.g = w.g),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit ON d.r = hit.r LEFT JOIN items ON d.r = items.r
+""".replace("{lower}", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')").replace("{word}", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").replace("{window}", str(WINDOW))

@@ -383,3 +383,26 @@ def join(docs: DataFrame, count: bool = True) -> DataFrame:
     out = out.join(final, out.class_id == final.node, "left")
     links = [F.when(known, F.col("n_links")).otherwise(0).alias("n_links")] if count else []
     return out.select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"), "class_id", *links)
+
+
+#: For tables of unique ids that are not null; links between texts of equal sets count like others.
+QUERY_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(words) >= {n} THEN array_to_string(words[i : i + {n} - 1], ' ') ELSE array_to_string(words, ' ') || chr(10) END AS g
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - {n} + 2))) AS i FROM d WHERE len(words) > 0)),
+size AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(9) ORDER BY g)) AS whole FROM s GROUP BY doc_id),
+class AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY whole) AS class_id FROM size),
+head AS (SELECT class_id, any_value(n) AS n, count(*) AS members FROM class GROUP BY class_id),
+hs AS (SELECT s.doc_id, s.g FROM s JOIN head ON s.doc_id = head.class_id),
+met AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM hs x JOIN hs y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM met JOIN head p ON a = p.class_id JOIN head q ON b = q.class_id WHERE 100 * k >= {percent} * (p.n + q.n - k)),
+reach AS (SELECT class_id AS a, class_id AS b FROM head UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+component AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+near AS (SELECT a, sum(members) AS n FROM link JOIN head ON b = class_id GROUP BY a)
+SELECT d.doc_id, coalesce(class.n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, coalesce(class.class_id, d.doc_id) AS class_id,
+  CAST(CASE WHEN class.n IS NULL THEN 0 ELSE members - 1 + coalesce(near.n, 0) END AS BIGINT) AS n_links
+FROM d LEFT JOIN class ON d.doc_id = class.doc_id LEFT JOIN head ON class.class_id = head.class_id
+  LEFT JOIN component ON class.class_id = component.a LEFT JOIN near ON class.class_id = near.a
+""".replace("{n}", str(SHINGLE)).replace("{percent}", str(PERCENT))

@@ -87,6 +87,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import line_dedup, maxscore, mixing
-
-    return {"op1_site_lines": line_dedup.QUERY_SQL, "op6_source_mix": mixing.QUERY_SQL.format(documents="documents"), "op8_top_vectors": maxscore.QUERY_SQL}
+    """SQL for the whole tables at the scales of the tests. Fitted models (op2, op5) and a tokenizer's files (op10) are none of SQL's."""
+    from . import decontaminate, line_dedup, maxscore, mixing, ngram_join, substring_dedup, warc
+
+    return {
+        "op1_site_lines": line_dedup.QUERY_SQL,
+        "op3_warc_pages": warc.QUERY_SQL,
+        "op4_ngram_join": ngram_join.QUERY_SQL,
+        "op6_source_mix": mixing.QUERY_SQL.format(documents="documents"),
+        "op7_benchmark_hits": decontaminate.QUERY_SQL,
+        "op8_top_vectors": maxscore.QUERY_SQL,
+        "op9_repeated_spans": substring_dedup.QUERY_SQL,
+    }

@@ -243,3 +243,16 @@ def parse(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 def digest(docs: DataFrame) -> DataFrame:
     return parse(docs).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERY_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT r, doc_id, text, i, array_to_string(words[i : i + {last}], ' ') AS g FROM (SELECT r, doc_id, text, words, unnest(range(1, len(words) - {last} + 1)) AS i FROM d)),
+later AS (SELECT r, i FROM w QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, text, r, i) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + {window})) AS p FROM later),
+kept AS (
+  SELECT e.r, count(gone.p) AS n_removed, string_agg(word, ' ' ORDER BY e.p) FILTER (gone.p IS NULL) AS kept
+  FROM (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM d) e LEFT JOIN gone ON e.r = gone.r AND e.p = gone.p GROUP BY e.r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.r = kept.r
+""".replace("{window}", str(WINDOW)).replace("{last}", str(WINDOW - 1))

@@ -272,3 +272,15 @@ def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     folder = folder or scratch(spark, "warc")
     back = read(spark, folder, write(pages, folder))
     return back.where("gap_bytes is null").select(*[x.split(" ")[0] for x in FIELDS.split(", ")])
+
+
+#: SHA-1 in base 32: five hexadecimal digits are four letters.
+QUERY_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p
+"""

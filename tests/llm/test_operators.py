@@ -272,6 +272,51 @@ def test_several_automata_give_one_result(spark, documents, monkeypatch):
     assert rows_of(decontaminate.digest(docs, bench), "doc_id", "n_hit", "items_sha256") == one
 
 
+def test_one_automaton_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    from petrel.llm import common, decontaminate
+
+    items = [[(k, [b"q%d" % j for j in range(k, k + 11)])] for k in range(3)]
+    built = []
+    monkeypatch.setattr(decontaminate, "_built", lambda x, window: built.append(x) or decontaminate.Automaton(x, window))
+    texts = [" ".join(f"q{j}" for j in range(k, k + 12)) for k in range(40)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[k : k + 4])], ["text"]) for k in range(0, 40, 4)]
+    got = [f for _, _, found in decontaminate._scanned(iter(batches), items, "x", 10) for f in found]
+    assert len(built) == 3 and len(common._KEPT) == 1 and got[0] == {0, 1, 2} and not got[30]
+    common.forget()
+
+
+def test_whole_documents_go_by_the_limits(spark, documents):
+    from petrel.llm.decontaminate import clean
+
+    item = " ".join(f"q{k}" for k in range(12))
+    bench = spark.createDataFrame([(1, item), (2, "short one"), (None, "filler word one two three four five six seven eight")], "item_id long, text string")
+    filler = "filler word one two three four five six seven eight nine " * 40
+    docs = documents([(1, f"{filler} {item}", "en", "a"), (2, f"{filler} short one", "en", "a"), (3, "short one", "en", "a"), (4, None, "en", "a"), (2, f"{filler} short one", "en", "a")], clash=("row", "n_hit"))
+    left = clean(docs, bench, whole=True)
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [2, 2, 4]
+
+
+def test_join_without_broadcasts(corpus, monkeypatch):
+    from petrel.llm import ngram_join
+
+    want = rows_of(ngram_join.join(corpus[1]), "doc_id", "component_id", "n_links")
+    monkeypatch.setattr(ngram_join, "MOST_IDS", 0)
+    monkeypatch.setattr(ngram_join, "MOST_FREQUENT", 1)
+    monkeypatch.setattr(ngram_join, "FREQUENT", 2)
+    monkeypatch.setattr(ngram_join, "CHUNK_RUNS", 100)
+    assert rows_of(ngram_join.join(corpus[1]), "doc_id", "component_id", "n_links") == want
+
+
+def test_mix_without_broadcasts(corpus, monkeypatch):
+    from petrel.llm import mixing
+
+    want = rows_of(mixing.mix(corpus[1]), "doc_id", "target", "taken")
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", 0)
+    assert rows_of(mixing.mix(corpus[1]), "doc_id", "target", "taken") == want
+
+
 def test_token_files(corpus, spark, tmp_path):
     import public_tokenizers as P
     from tokenizers import Tokenizer
@@ -389,6 +434,39 @@ def test_language(documents):
     assert predict(documents([])).count() == 0
 
 
+def test_decoding_equals_the_sum_over_bits():
+    from petrel.llm import langid
+
+    r = np.random.default_rng(3)
+    for classes in (2, 4, 9):
+        code = langid.codewords(classes)
+        bits = code.shape[1]
+        m = langid.Model([str(k) for k in range(classes)], code, r.normal(size=(langid.BUCKETS + 1, bits)).astype(np.float32), r.random((classes, bits)))
+        x = r.random((3, langid.BUCKETS)).astype(np.float32) / 50
+        got = m.distances(x)
+        for row, d in zip(x, got, strict=True):
+            margins = [sum(float(a) * float(w) for a, w in zip(row, m.weights[:-1, k], strict=True)) + float(m.weights[-1, k]) for k in range(bits)]
+            for c in range(classes):
+                assert d[c] == pytest.approx(sum(m.trust[c, k] * np.exp(-margins[k] * code[c, k]) for k in range(bits)) / bits, rel=1e-3)
+
+
+def test_every_language_is_learned(documents):
+    from petrel.llm import langid
+
+    rows = [(k, " ".join(f"{chr(97 + k % 40 // 2)}{chr(97 + k % 40)}q" if k % 40 < 20 else f"x{chr(97 + k % 20)}z" for _ in range(8)), f"l{k % 40:02}", "s") for k in range(1200)]
+    assert langid.learn(documents(rows)).languages == sorted({g for _, _, g, _ in rows})
+
+
+def test_identified_drops_what_no_codeword_is_near_to(documents):
+    from petrel.llm import langid
+
+    model = langid.Model(["a", "b"], langid.codewords(2), np.zeros((langid.BUCKETS + 1, 1), np.float32), np.ones((2, 1)))
+    df = documents([(1, "words", "a", "s"), (2, None, "a", "s"), (3, "12", None, "s")])
+    assert langid.identified(df, model).count() == 0  # the classifier says nothing: a tie, far from both
+    model.weights[-1] = 3
+    assert [r.doc_id for r in langid.identified(df, model).collect()] == [1]
+
+
 def test_machine_equals_the_sum_over_pairs():
     from petrel.llm.quality import Machine
 
