@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..schema import PLACEHOLDERS
 from ..sources import samples, tables
+from . import cases
 
 _R4 = "floor(({0}) * 10000.0 + 0.5) / 10000.0"
 
@@ -114,7 +115,7 @@ def _sample_models() -> str:
 def oracle_sql() -> dict[str, str]:
     metric = lambda *c: f"WITH {_MARKET}, {_METRICS} SELECT model, {', '.join(c)} FROM met"
     counted = {k: f"count(*) FILTER (r = '{k}') AS dropped_{k}" for k in ("null", "placeholder", "rare_activity", "rare_object", "duplicate")}
-    return {
+    return cases.oracle_sql() | {
         "relation_support": f"WITH {_STRUCT_SUPPORT} SELECT * FROM sup",
         "relation_support_of_log": f"WITH {_STRUCT_SUPPORT} SELECT * FROM sup",
         "relations_min_support": f"WITH {_MARKET} SELECT * FROM rel",

@@ -13,6 +13,7 @@ from ..operators.clean import CleanConfig
 from ..operators.extract import Model
 from ..shipping import ship
 from ..sources import ocel, rows, samples, tables
+from . import cases
 
 _ALL = CleanConfig(min_activity_freq=50, min_object_freq=20)
 
@@ -235,4 +236,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ("metric_oii", ("oii",)), ("metric_counts", ("otc", "aorc")), ("metric_composite", ("composite",)),
     ):
         own[name] = _metric(*columns)
-    return own
+    return own | cases.queries()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,7 +67,7 @@ def parse(spark: SparkSession, source, model: str = "Dataset", format: str | Non
         return from_pandas(spark, source, model)
     if isinstance(source, list):
         return from_dicts(spark, source, model)
-    if isinstance(source, Path) or (isinstance(source, str) and "\n" not in source and len(source) < 4096 and (Path(source).exists() or "://" in source)):
+    if isinstance(source, Path) or (isinstance(source, str) and "\n" not in source and source.lstrip()[:1] not in ("{", "[") and (os.path.exists(source) or "://" in source)):
         path = str(source)
         kind = format or ("json" if path.endswith(".json") else "csv")
         if kind in ("ocel2", "ocel1"):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,7 +42,7 @@ def detect_format(filename: str) -> str:
 def discover(folder: str) -> dict[str, dict]:
     """Datasets for the *.json, *.csv and *.jsonocel files of a folder, by stem, in order."""
     found = sorted(p for p in Path(folder).glob("*") if p.suffix in (".json", ".csv", ".jsonocel"))
-    return {p.stem: {"filename": p.name, "format": detect_format(p.name), "label": re.sub(r"[_-]+", " ", p.stem).title()} for p in found}
+    return {p.stem: {"filename": p.name, "format": detect_format(p.name), "label": p.stem.replace("_", " ").title()} for p in found}
 
 
 def load(spark: SparkSession, key: str, folder: str, allow_mock: bool = False) -> tuple[DataFrame, str]:
@@ -71,27 +70,71 @@ def _pick(options: list[str], seed: int, *parts) -> Column:
     return F.element_at(F.array(*map(F.lit, options)), (_draw(seed, *parts) % len(options) + 1).cast("int"))
 
 
-def generated(spark: SparkSession, model: str, events: int, activities: list[str], types: list[str], most_objects: int, seed: int) -> DataFrame:
-    """``events`` random events, each with one to ``most_objects`` objects; reproducible, generated where it is read."""
-    e = spark.range(events).select(F.col("id").alias("source_row"))
-    e = e.withColumn("activity", _pick(activities, seed, F.lit("a"), "source_row"))
-    e = e.select("*", F.explode(F.sequence(F.lit(0), (_draw(seed, F.lit("n"), "source_row") % most_objects).cast("int"))).alias("pos"))
-    e = e.withColumn("object_type", _pick(types, seed, F.lit("o"), "source_row", "pos"))
+def _canonical(e: DataFrame, model: str, event_id: Column, object_id: Column) -> DataFrame:
+    """(source_row, pos, activity, object_type) as canonical events; times a minute apart, eight events a case."""
     start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     return e.select(
-        F.lit(model).alias("model"), "activity", "object_type", F.concat("object_type", F.lit(":"), _draw(seed, F.lit("i"), "source_row", "pos") % 5000).alias("object_id"),
-        F.concat(F.lit("case_"), F.floor(F.col("source_row") / 8).cast("string")).alias("case_id"), (start + F.make_dt_interval(mins=F.col("source_row").cast("int"))).alias("ts"),
-        F.format_string("evt_%06d", "source_row").alias("event_id"), "source_row", "pos", F.create_map().cast("map<string,string>").alias("extra"),
+        F.lit(model).alias("model"), "activity", "object_type", object_id.alias("object_id"), F.concat(F.lit("case_"), F.floor(F.col("source_row") / 8).cast("string")).alias("case_id"),
+        (start + F.make_dt_interval(mins=F.col("source_row").cast("int"))).alias("ts"), event_id.alias("event_id"), "source_row", F.col("pos").cast("int").alias("pos"),
+        F.create_map().cast("map<string,string>").alias("extra"),
     ).select(*COLUMNS)
 
 
-_P2P = ["Create Requisition", "Approve Requisition", "Create Order", "Approve Order", "Receive Goods", "Receive Invoice", "Check Invoice", "Block Payment", "Release Payment", "Pay Invoice"]
-_ORDERS = ["Place Order", "Confirm Order", "Pay Order", "Pick Item", "Reorder Item", "Create Package", "Send Package", "Fail Delivery", "Deliver Package"]
-_KINDS = ["feat", "fix", "docs", "style", "refactor", "perf", "test", "build", "ci", "chore"]
-_SCOPES = ["core", "router", "forms", "http", "compiler", "animations", "common"]
+def generated(spark: SparkSession, model: str, events: int, touches: dict[str, list[str]], seed: int) -> DataFrame:
+    """``events`` random events: each draws an activity and touches the object types of that activity; reproducible, generated where it is read."""
+    table = F.create_map(*[x for a, types in touches.items() for x in (F.lit(a), F.array(*map(F.lit, types)))])
+    e = spark.range(events).select(F.col("id").alias("source_row"), _pick(list(touches), seed, F.lit("a"), "id").alias("activity"))
+    e = e.select("*", F.posexplode(table[F.col("activity")]).alias("pos", "object_type"))
+    object_id = F.concat("object_type", F.lit(":"), _draw(seed, F.lit("i"), "source_row", "pos") % 5000)
+    return _canonical(e, model, F.concat(F.format_string("evt_%06d", "source_row"), F.lit("_"), "pos"), object_id)
+
+
+def generated_commits(spark: SparkSession, model: str, events: int, activities: list[str], seed: int) -> DataFrame:
+    """``events`` commits: each on 1 to 3 branches (80, 15 and 5 in a hundred), and in 85 of a hundred with 1, 2, 3, 5 or 10 files."""
+    share = lambda part: _draw(seed, F.lit(part), "source_row") % 100
+    e = spark.range(events).select(F.col("id").alias("source_row"), _pick(activities, seed, F.lit("a"), "id").alias("activity"))
+    branches = F.when(share("b") < 80, 1).when(share("b") < 95, 2).otherwise(3)
+    files_ = F.when(share("f") >= 85, 0).otherwise(F.when(share("n") < 40, 1).when(share("n") < 65, 2).when(share("n") < 80, 3).when(share("n") < 90, 5).otherwise(10))
+    e = e.select("*", F.posexplode(F.concat(F.array_repeat(F.lit("branch"), branches), F.array_repeat(F.lit("file"), files_))).alias("pos", "object_type"))
+    number = _draw(seed, F.lit("i"), "source_row") + F.col("pos")  # consecutive, so no object twice in an event
+    object_id = F.when(F.col("object_type") == "branch", F.concat(F.lit("branch_"), number % 119)).otherwise(F.concat(F.lit("packages/core/src/file_"), number % 5000, F.lit(".ts")))
+    return _canonical(e, model, F.format_string("commit_%06d", "source_row"), object_id)
+
+
+#: The object types that each activity of the published purchase log touches.
+P2P = {
+    "Create Purchase Requisition": ["purchase_requisition"],
+    "Approve Purchase Requisition": ["purchase_requisition"],
+    "Delegate Purchase Requisition Approval": ["purchase_requisition"],
+    "Create Request for Quotation": ["quotation", "purchase_requisition"],
+    "Create Purchase Order": ["purchase_order", "quotation", "material"],
+    "Approve Purchase Order": ["purchase_order"],
+    "Create Goods Receipt": ["goods_receipt", "purchase_order", "material"],
+    "Create Invoice Receipt": ["invoice_receipt", "goods_receipt"],
+    "Perform Two-Way Match": ["invoice_receipt", "purchase_order", "goods_receipt"],
+    "Execute Payment": ["payment", "invoice_receipt"],
+}
+#: The same of the published order log.
+ORDERS = {
+    "place order": ["order", "item"],
+    "confirm order": ["order"],
+    "pick item": ["item"],
+    "create package": ["package", "item"],
+    "send package": ["package", "order"],
+    "receive payment": ["order"],
+    "deliver package": ["package"],
+    "payment reminder": ["order"],
+    "failed delivery": ["package", "order"],
+}
+#: Labels of commits.
+COMMITS = """feat, fix, docs, style, refactor, test, chore, perf, ci, build, revert, merge, release, feat(compiler), feat(core), feat(router), feat(forms), fix(compiler),
+fix(core), fix(router), fix(forms), fix(http), fix(animations), fix(platform-browser), docs(changelog), docs(readme), docs(api), refactor(core), refactor(compiler), refactor(router),
+test(core), test(router), test(compiler), chore(deps), chore(release), chore(bazel), ci(github-actions), build(bazel), build(npm), perf(core), perf(router), feat(ivy), fix(ivy),
+refactor(ivy), feat(service-worker), fix(service-worker), feat(elements), fix(elements), feat(localize), fix(localize), feat(common), fix(common), feat(upgrade), fix(upgrade),
+feat(zone.js), fix(zone.js), feat(language-service), fix(language-service), release, merge branch, revert feat, revert fix, chore(aio), docs(aio), fix(aio), feat(aio), chore(triage)"""
 
 MOCKS = {
-    "p2p": lambda s: generated(s, "p2p", 14671, _P2P, ["Requisition", "Order", "Receipt", "Invoice", "Payment", "Material", "Vendor"], 3, 0),
-    "order_management": lambda s: generated(s, "order_management", 1500, _ORDERS, ["order", "item", "package"], 2, 1),
-    "angular": lambda s: generated(s, "angular", 27847, [f"{k}({x})" for k in _KINDS for x in _SCOPES][:67], ["branch", "file"], 10, 2),
+    "p2p": lambda s: generated(s, "p2p", 14671, P2P, 0),
+    "order_management": lambda s: generated(s, "order_management", 1500, ORDERS, 1),
+    "angular": lambda s: generated_commits(s, "angular", 27847, [x.strip() for x in COMMITS.split(",")], 2),
 }
