@@ -113,10 +113,10 @@ def write(pages: DataFrame, folder: str, compress: bool = True, least_bytes: int
 
 
 class Window:
-    """A stretch of a stream that is read once, forwards; ``at`` is the offset of its first byte."""
+    """A stretch of a stream that is read once, forwards; ``at`` is the offset of its first byte. ``size``: bytes of the whole stream, if known."""
 
-    def __init__(self, stream):
-        self.stream, self.data, self.at, self.ended = stream, b"", 0, False
+    def __init__(self, stream, size: int | None = None):
+        self.stream, self.size, self.data, self.at, self.ended = stream, size, b"", 0, False
 
     def more(self) -> bool:
         got = b"" if self.ended else self.stream.read(READ_BYTES)
@@ -155,22 +155,32 @@ def _checked(header: dict[str, str], block: bytes) -> dict[str, str]:
 
 
 def _from_member(w: Window) -> tuple[dict[str, str], bytes, int]:
-    """(header, block, bytes taken) of the gzip member at the start of the window."""
-    z, out, used = zlib.decompressobj(31), [], 0
+    """(header, block, bytes taken) of the gzip member at the start of the window.
+
+    It is inflated step by step, and no further than its record's header says.
+    """
+    z, data, used, most = zlib.decompressobj(31), bytearray(), 0, None
     try:
         while not z.eof:
             if used == len(w.data) and not w.more():
                 raise Damaged("the member is cut off")
-            part = w.data[used:]
-            out.append(z.decompress(part))
-            used += len(part) - len(z.unused_data)
+            part = w.data[used : used + READ_BYTES]
+            used += len(part)
+            while part and not z.eof:
+                data += z.decompress(part, READ_BYTES)
+                part = z.unconsumed_tail
+                if most is None and data.find(b"\r\n\r\n") >= 0:
+                    _, start, length = _parsed(bytes(data))
+                    most = start + length + 4
+                if most is not None and len(data) > most or most is None and not data.startswith(VERSION[: len(data)]):
+                    raise Damaged("the member holds something else than its header says")
+        used -= len(z.unused_data)
     except zlib.error as e:
         raise Damaged(str(e)) from e
-    data = b"".join(out)
-    header, start, length = _parsed(data)
+    header, start, length = _parsed(bytes(data))
     if len(data) < start + length:
         raise Damaged("the block is cut off")
-    block = data[start : start + length]
+    block = bytes(data[start : start + length])
     return _checked(header, block), block, used
 
 
@@ -181,6 +191,8 @@ def _from_plain(w: Window) -> tuple[dict[str, str], bytes, int]:
         if not w.more():
             break
     header, start, length = _parsed(w.data)
+    if w.size is not None and w.at + start + length + 4 > w.size:
+        raise Damaged("the length goes beyond the archive")
     while len(w.data) < start + length + 4 and w.more():
         pass
     if w.data[start + length : start + length + 4] != b"\r\n\r\n":
@@ -189,12 +201,13 @@ def _from_plain(w: Window) -> tuple[dict[str, str], bytes, int]:
     return _checked(header, block), block, start + length + 4
 
 
-def salvage(stream) -> Iterator[tuple[str, int, object]]:
+def salvage(stream, size: int | None = None) -> Iterator[tuple[str, int, object]]:
     """Yields ("record", offset, (header, block)) and ("gap", offset, bytes left out), in the order of the archive.
 
-    A failed check costs the bytes up to the next place that begins a valid record, no more.
+    A failed check costs the bytes up to the next place that begins a valid record, no more. With the ``size`` of the stream, a
+    damaged length that goes beyond it is seen without reading on.
     """
-    w, gap = Window(stream), None
+    w, gap = Window(stream, size), None
     while w.data or w.more():
         while len(w.data) < len(VERSION) and w.more():
             pass
@@ -242,7 +255,7 @@ def read(spark: SparkSession, folder: str, archives: DataFrame, with_payload: bo
         system, path = filesystem(f"{folder}/{archive}")
         number = lambda x: int(x) if x else None
         with system.open_input_file(path) as f:
-            for what, at, x in salvage(f):
+            for what, at, x in salvage(f, f.size()):
                 if what == "gap":
                     yield (None, None, None, None, None, archive, at, x, None)[: len(names)]
                     continue

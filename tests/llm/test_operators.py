@@ -393,6 +393,48 @@ def test_warc_salvage():
     assert seen(b"") == [] and seen(b"WARC") == [("gap", 4)]
 
 
+def test_warc_reads_no_further_than_it_must():
+    from petrel.llm.warc import READ_BYTES, Damaged, Window, _from_member, member, record, salvage
+
+    class Stream(io.BytesIO):
+        taken = 0
+
+        def read(self, n):
+            got = super().read(n)
+            self.taken += len(got)
+            return got
+
+    good = record(1, "http://x/", b"hello", 1)
+    wrong = good.replace(b"\r\nContent-Length: ", b"\r\nContent-Length: 9" + b"9" * 9)
+    data = wrong + good + b"".join(record(k, "u", b"x" * 50_000, k) for k in range(100))
+    s = Stream(data)
+    first = next(iter(salvage(s, len(data))))
+    assert first[0] == "gap" and first[2] == len(wrong) and s.taken <= 2 * READ_BYTES
+    bomb = member(good + b"\0" * (300 << 20))
+    with pytest.raises(Damaged):
+        _from_member(Window(io.BytesIO(bomb)))
+    assert [(w, x if w == "gap" else x[0]["x-page-id"]) for w, _, x in salvage(io.BytesIO(bomb + member(good)))] == [("gap", len(bomb)), ("record", "1")]
+
+
+def test_warc_reads_damaged_archives(spark, tmp_path):
+    from petrel.llm.warc import member, read, record
+
+    recs = [record(k, f"http://x/{k}", b"hello" * k, k if k != 3 else 1) for k in range(5)]
+    torn = member(recs[2])[:-9]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join([member(recs[0]), member(recs[1]), torn, member(recs[3]), b"??"]))
+    (tmp_path / "b.warc").write_bytes(recs[4] + b"junk")
+    (tmp_path / "c.warc").write_bytes(b"")
+    names = spark.createDataFrame([("a.warc.gz",), ("b.warc",), ("c.warc",)], "archive string")
+    got = read(spark, f"file://{tmp_path}", names, with_payload=True).collect()
+    found = {r.page_id: (r.archive, r.record_type, r.refers_to, r.payload_bytes, None if r.payload is None else bytes(r.payload)) for r in got if r.gap_bytes is None}
+    assert found == {
+        0: ("a.warc.gz", "response", None, 0, b""), 1: ("a.warc.gz", "response", None, 5, b"hello"), 3: ("a.warc.gz", "revisit", 1, 15, None),
+        4: ("b.warc", "response", None, 20, b"hello" * 4),
+    }
+    gaps = sorted((r.archive, r.gap_bytes) for r in got if r.gap_bytes is not None)
+    assert gaps == [("a.warc.gz", 2), ("a.warc.gz", len(torn)), ("b.warc", 4)]
+
+
 def test_line_dedup(spark):
     from petrel.llm.line_dedup import dedup
 
