@@ -28,6 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,8 @@ FILE_BYTES = 64 << 20
 LEVEL = 3
 #: Chunks whose ids a generation of a Python worker's memory holds, and how many new ones are encoded together.
 REMEMBERED, TOGETHER = 250_000, 2000
+#: Bytes of text whose different words are found together, about, and texts whose ids are copied together.
+WORDS_BYTES, TEXTS = 6 << 20, 500
 #: Single marks that often end a word.
 MARKS = ".,;:!?"
 #: Words whose texts are encoded in one call: nothing (two spaces, or one at an end) or a line feed alone (one beside other white
@@ -103,8 +106,8 @@ class Encoder:
             some = words[at : at + TOGETHER]
             text = before + before.join(some)
             ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            lengths = map(len, some) if text.isascii() else (len(c.encode()) for c in some)
-            ends = np.cumsum(np.fromiter(lengths, np.int64, len(some)) + len(before))
+            data = np.frombuffer(text.encode(), np.uint8)
+            ends = np.append(np.flatnonzero(data == ord(before or "\n"))[1:], len(data))  # each word follows a space or begins with a line feed
             after = np.cumsum(self.sizes[ids])
             cuts = np.searchsorted(after, ends)
             if len(ids) == 0 or cuts[-1] != len(ids) - 1 or (after[cuts] != ends).any():
@@ -113,37 +116,81 @@ class Encoder:
             cuts = ((cuts + 1) * 4).tolist()
             self.known.update(zip(some, [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
 
-    def all(self, texts: list[str | None], end_id: int) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers, the end id last."""
-        end, known = _packed([end_id]), self.known
+    def _values(self, words: list[str]) -> list[bytes | None]:
+        """The ids of each of some different words; None for those whose texts are encoded whole."""
+        known = self.known
         known.renew()
-        # a line feed before the first word, whose id is taken off again, makes a chunk of it too
-        cut = [("\n" + t).replace("\n", " \n").split(" ")[1:] if t else [] for t in texts]
-        new = set().union(*cut).difference(known).difference(known.old)
+        values = list(map(known.get, words))
+        lost = [k for k, v in enumerate(values) if v is None]
+        new = []
+        for k in lost:
+            if (v := known.old.get(words[k])) is None:
+                new.append(words[k])
+            else:
+                known[words[k]] = v
         odd = {w for w in new if ODD.search(w)}  # never remembered, so always new
-        new -= odd
         # A mark after a letter is a piece of its own, so a new word with one at its end is its stem and the mark.
-        marked = [w for w in new if w[-1] in MARKS and w[-2:-1].isalpha()]
-        new.difference_update(marked)
-        new.update(s for s in {w[:-1] for w in marked} if s not in known and s not in known.old)
-        self._learn([w for w in new if w[0] != "\n"], " ")
-        self._learn([w for w in new if w[0] == "\n"], "")
+        marked = [w for w in new if w[-1:] in self.marks and w[-2:-1].isalpha() and w not in odd]
+        learnt = set(new).difference(odd, marked)
+        learnt.update(s for s in {w[:-1] for w in marked} if s not in known and s not in known.old)
+        self._learn([w for w in learnt if w[0] != "\n"], " ")
+        self._learn([w for w in learnt if w[0] == "\n"], "")
         get = known.__getitem__
         known.update([(w, get(w[:-1]) + self.marks[w[-1]]) for w in marked])
+        for k in lost:
+            values[k] = None if words[k] in odd else get(words[k])
+        return values
+
+    def all(self, texts: pa.Array | list[str | None], end_id: int) -> list[bytes]:
+        """For each text its ids as little-endian unsigned 32-bit integers, the end id last.
+
+        Texts are cut and their different words found in Arrow; the ids of all words are then copied from those of the different ones.
+        """
+        end = _packed([end_id])
+        column = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        # a line feed before the first word, whose id is taken off again, makes a chunk of it too
+        feed, nothing = (pa.scalar(x, pa.large_string()) for x in ("\n", ""))
+        cut = pc.split_pattern(pc.binary_join_element_wise(feed, pc.replace_substring(column, "\n", " \n"), nothing), " ")
+        words = cut.flatten().dictionary_encode()
+        code = np.asarray(words.indices)
+        values = self._values(words.dictionary.to_pylist())
+        odd = np.array([v is None for v in values], bool)
+        values = [v or b"" for v in values]
+        size = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        pool = np.frombuffer(b"".join(values), "<u4")
+        first = np.cumsum(size) - size
+        edges = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(cut), 0)))])
         out = []
-        for t, words in zip(texts, cut, strict=True):
-            if not t:
-                out.append(end)
-            elif odd and not odd.isdisjoint(words):
-                out.append(self._whole(t) + end)
-            else:
-                out.append(b"".join([*map(get, words), end])[4:])
+        for low in range(0, len(column), TEXTS):
+            words_at = edges[low : low + TEXTS + 1]
+            of = code[words_at[0] : words_at[-1]]
+            n = size[of]
+            ends = np.cumsum(n)
+            ids = pool[np.repeat(first[of] - (ends - n), n) + np.arange(n.sum())]
+            at = np.concatenate([[0], ends])[words_at - words_at[0]].tolist()
+            out += [ids[a + 1 : b].tobytes() + end for a, b in zip(at[:-1], at[1:], strict=True)]
+        whole = np.diff(np.concatenate([[0], np.cumsum(odd[code])])[edges]) > 0
+        for k in np.flatnonzero(whole):
+            out[k] = self._whole(column[int(k)].as_py()) + end
         return out
 
     def __call__(self, text: str | None, end_id: int) -> bytes:
         return self.all([text], end_id)[0]
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``WORDS_BYTES``, of as many batches as that takes: the more text, the fewer different words in each part of it."""
+    held, size = [], 0
+    for b in pieces(batches, rows=1 << 20, most_bytes=WORDS_BYTES):
+        held.append(b)
+        size += b.column("text").nbytes
+        if size >= WORDS_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def encoder(path: str) -> Encoder:
     """The encoder of this process, which later tasks of a worker find warm."""
     return keep(("encoder", path), lambda: Encoder(path))
@@ -164,7 +211,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int = 0, sample_do
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer)
         for b in pieces(batches):
-            out = [x[: 64 << 10] for x in e.all(b.column("text").to_pylist(), end_id)]
+            out = [x[: 64 << 10] for x in e.all(b.column("text"), end_id)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
 
     samples = sorted(bytes(r.ids) for r in chosen.mapInArrow(encode, "ids binary").limit(4 * sample_docs).collect())
@@ -210,8 +257,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, file_by
         def body(out) -> None:
             nonlocal ids
             at = out.write(MAGIC + key)
-            for b in pieces((x for part in ([first], batches) for x in part)):
-                for doc, got in zip(b.column("doc_id").to_pylist(), encode(b.column("text").to_pylist(), end_id), strict=True):
+            for b in _merged(x for part in ([first], batches) for x in part):
+                for doc, got in zip(b.column("doc_id").to_pylist(), encode(b.column("text"), end_id), strict=True):
                     frame = compress(got)
                     out.write(frame)
                     rows.append((doc or 0, doc is None, at, len(frame), len(got) // 4))
