@@ -614,3 +614,18 @@ def test_components(spark):
                 todo.append(y)
         assert got[start] == min(seen)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_encoder_takes_slices_and_odd_texts():
+    import pyarrow as pa
+
+    from petrel.llm import token_files
+    from petrel.llm.queries import tokenizer_path
+
+    r = random.Random(5)
+    parts = ["a", "B", "the", " ", " ", "  ", "\n", "\n\n", "\t", " ", ".", ",", "'s", "é", "漢", "😀", "<|endoftext|>", "12", "!"]
+    texts = [None, "", "\n", " ", "\na", " a", "a ", "a\n", "a.\n", None] + ["".join(r.choices(parts, k=r.randint(0, 25))) for _ in range(1000)]
+    encoder, column = token_files.Encoder(tokenizer_path()), pa.array(texts, pa.string())
+    got = [x for at in range(0, len(texts), 97) for x in encoder.all(column.slice(at, 97), 0)]
+    want = [np.array([*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes() for t in texts]
+    assert got == want and encoder.all(column.slice(0, 0), 0) == []
