@@ -20,6 +20,7 @@ of the input are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import struct
@@ -40,8 +41,10 @@ ENTRY = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("bytes"
 FOOTER = "<QQQ8s"
 #: The dictionary is trained on about this many documents, chosen by a hash of their ids, and is of at most this size.
 SAMPLE_DOCS, DICTIONARY_BYTES = 1500, 64 << 10
-#: Bytes of text that one file takes, about.
-FILE_BYTES = 64 << 20
+#: Bytes of text that one file takes, about. A small corpus has this many files of a megabyte or more.
+FILE_BYTES, SMALL = 64 << 20, 12
+#: Characters of a text that its range is found by, after the doc_id; rows are sorted by the whole text.
+RANGE_CHARS = 64
 LEVEL = 3
 #: Chunks whose ids a generation of a Python worker's memory holds, and how many new ones are encoded together.
 REMEMBERED, TOGETHER = 250_000, 2000
@@ -50,8 +53,8 @@ WORDS_BYTES, TEXTS = 6 << 20, 500
 #: Single marks that often end a word.
 MARKS = ".,;:!?"
 #: Words whose texts are encoded in one call: nothing (two spaces, or one at an end) or a line feed alone (one beside other white
-#: space), any other white space (Python's notion is wider than the tokenizer's), and the tokenizer's special token.
-ODD = re.compile(r"^\n?\Z|[^\S\n]|<\|endoftext\|>")
+#: space), any other white space (Python's notion is wider than the tokenizer's); the tokenizer's special tokens are added to these.
+ODD = r"^\n?\Z|[^\S\n]"
 
 
 def _packed(ids) -> bytes:
@@ -75,6 +78,13 @@ class _Words(dict):
             self.clear()
 
 
+def _cuts_at_white_space(spec: dict) -> bool:
+    """Whether a tokenizer is byte-level BPE that changes no text first and cuts it by that library's own pattern."""
+    cut, model = spec["pre_tokenizer"] or {}, spec["model"]
+    plain = spec["normalizer"] is None and model["type"] == "BPE" and not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+    return plain and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut["add_prefix_space"]
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, with a bounded memory of the chunks between white space.
 
@@ -82,7 +92,7 @@ class Encoder:
     where every white-space character stands alone, the ids of a text are those of its chunks in turn, a chunk being a space or
     line feed and what follows up to the next one. New chunks are encoded many at once, run together; as every id stands for a
     known number of bytes, the ids of each are found by its length. Other texts, and those with a special token or with characters that
-    Python alone takes for white space, are encoded in one call.
+    Python alone takes for white space, are encoded in one call; so is every text where the tokenizer is not of that kind.
     """
 
     def __init__(self, path: str):
@@ -90,7 +100,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        special = [t["content"] for t in spec["added_tokens"]]
+        self.by_word = _cuts_at_white_space(spec) and not any(re.search(r"\s", t) for t in special)
+        self.odd = re.compile("|".join([ODD, *map(re.escape, special)]))
         self.known = _Words()
+        if not self.by_word:
+            return
         sizes = [0] * self.tokenizer.get_vocab_size()
         for token, i in self.tokenizer.get_vocab().items():
             sizes[i] = len(token)  # byte-level tokens have a letter per byte
@@ -128,7 +144,7 @@ class Encoder:
                 new.append(words[k])
             else:
                 known[words[k]] = v
-        odd = {w for w in new if ODD.search(w)}  # never remembered, so always new
+        odd = {w for w in new if self.odd.search(w)}  # never remembered, so always new
         # A mark after a letter is a piece of its own, so a new word with one at its end is its stem and the mark.
         marked = [w for w in new if w[-1:] in self.marks and w[-2:-1].isalpha() and w not in odd]
         learnt = set(new).difference(odd, marked)
@@ -148,6 +164,8 @@ class Encoder:
         """
         end = _packed([end_id])
         column = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        if not self.by_word:
+            return [self._whole(x.as_py() or "") + end for x in column]
         # a line feed before the first word, whose id is taken off again, makes a chunk of it too
         feed, nothing = (pa.scalar(x, pa.large_string()) for x in ("\n", ""))
         cut = pc.split_pattern(pc.binary_join_element_wise(feed, pc.replace_substring(column, "\n", " \n"), nothing), " ")
@@ -234,8 +252,9 @@ def _decompressor(dictionary: bytes) -> Callable[[bytes], bytes]:
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes (doc_id, text) of ``docs`` to files in ``folder``; returns (file, first, docs, ids), a row per file.
 
-    ``first`` counts the ids in all files before. The documents are dealt by range of doc_id, so the files follow
-    each other; a task writes one file as a stream and holds one document and the index at a time.
+    ``first`` counts the ids in all files before. The documents are dealt by range of doc_id and of how their texts begin, so the
+    files follow each other and rows that share an id, or have none, need not lie in one; how many files there are depends on the
+    corpus alone. A task writes one file as a stream and holds a few megabytes of text and the index at a time.
     """
     spark = docs.sparkSession
     d = pick(docs, doc_id="long", text="string")
@@ -243,7 +262,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, file_by
     key = hashlib.sha256(dictionary).digest() if dictionary else bytes(32)
     publish(f"{folder}/{key.hex()}.dict", lambda out: out.write(dictionary))
     total = d.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    files = max(1, -(-total // file_bytes), min(spark.sparkContext.defaultParallelism * 2, total >> 20))
+    files = max(1, -(-total // file_bytes), min(SMALL, total >> 20))
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -271,7 +290,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, file_by
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(rows)], pa.int64()), pa.array([ids], pa.int64())], ["file", "docs", "ids"])
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    dealt = d.repartitionByRange(files, order[0]).sortWithinPartitions(*order)
+    dealt = d.repartitionByRange(files, order[0], F.substring("text", 1, RANGE_CHARS).asc_nulls_first()).sortWithinPartitions(*order)
     made = sorted(dealt.mapInArrow(save, "file string, docs long, ids long").collect())
     rows, first = [], 0
     for r in made:  # one row per file, not per document

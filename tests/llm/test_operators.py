@@ -629,3 +629,33 @@ def test_encoder_takes_slices_and_odd_texts():
     got = [x for at in range(0, len(texts), 97) for x in encoder.all(column.slice(at, 97), 0)]
     want = [np.array([*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes() for t in texts]
     assert got == want and encoder.all(column.slice(0, 0), 0) == []
+
+
+def test_encoder_of_a_tokenizer_that_does_not_keep_white_space():
+    import public_tokenizers as P
+
+    from petrel.llm.token_files import Encoder
+
+    r = random.Random(7)
+    texts = [None, "", " ", "a b", "word.\nNext", "<|startoftext|> it's"] + ["".join(r.choices(["a", "Be", " ", "\n", ".", "é", "12", "<|endoftext|>"], k=r.randint(0, 20))) for _ in range(300)]
+    e = Encoder(P.path("word_bpe_49k.json"))
+    assert not e.by_word and Encoder(P.path("byte_bpe_50k.json")).by_word
+    assert e.all(texts, 0) == [np.array([*e.tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes() for t in texts]
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_token_files_of_one_id(spark, documents, tmp_path, doc_id):
+    from petrel.llm import token_files
+    from petrel.llm.queries import tokenizer_path
+
+    r = random.Random(3)
+    texts = [None, "", "same start " * 9, "same start " * 9 + "b", "same start " * 9 + "a", "é", "😀", "\uffff"] + [" ".join(r.choices(["one", "two", "six"], k=40)) for _ in range(200)]
+    folder = f"file://{tmp_path}"
+    files = token_files.write(documents([(doc_id, t, None, None) for t in texts]), folder, tokenizer_path(), file_bytes=4000)
+    assert files.count() > 3 and files.selectExpr("max(docs)").first()[0] < len(texts) // 2
+    got = sorted(token_files.read(spark, folder, files, with_ids=True).collect(), key=lambda x: x.start)
+    tokenizer = token_files.Encoder(tokenizer_path()).tokenizer
+    # in the order of the texts' bytes, as the range of a text is found by its beginning
+    want = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for t in sorted(texts, key=lambda t: (t is not None, (t or "").encode()))]
+    assert [x.ids for x in got] == want and {x.doc_id for x in got} == {doc_id}
+    assert [x.start for x in got] == np.cumsum([0, *map(len, want[:-1])]).tolist()
