@@ -13,7 +13,7 @@ reader refuses a file whose dictionary it does not have. A short document is rea
 frame, without touching its neighbours.
 
 Defined results: a null or empty text has only the end id; a null doc_id comes first; rows that share an id are kept,
-each with its own entry, in the order of their texts; an empty table gives no file and an empty result; other columns
+each with its own entry, in the order of their texts (those whose texts also begin alike lie in one file); an empty table gives no file and an empty result; other columns
 of the input are ignored.
 """
 
