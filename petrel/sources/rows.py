@@ -58,13 +58,20 @@ def from_dicts(spark: SparkSession, rows: list[dict], model: str) -> DataFrame:
     return from_maps(spark.createDataFrame(data, "model string, source_row long, keys array<string>, row map<string,string>"))
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """``df`` over the partitions of one execution of its plan, so that all who read it see the same rows in each: two plans of one shuffle
+    may merge its partitions differently. Its shuffles run here, what follows the last one whenever it is read; nothing is stored."""
+    spark, frame = df.sparkSession, df._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(frame.queryExecution().toRdd(), frame.schema(), False), spark)
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """``df`` with a dense 0-based ``source_row`` in input order.
 
-    A row's number is its place in its partition after the rows of the partitions before. These are counted by one small aggregation; its result,
-    a row per partition, is what the window runs over and what is sent to the rows.
+    A row's number is its place in its partition after the rows of the partitions before. These are counted by one small aggregation over the same
+    partitions; its result, a row per partition, is what the window runs over and what is sent to the rows.
     """
-    at = df.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    at = _settled(df).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
     sizes = at.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.min("_m").alias("first"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select(F.col("_p").alias("_of"), (before - F.col("first")).alias("_offset"))
