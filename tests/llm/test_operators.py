@@ -659,3 +659,24 @@ def test_token_files_of_one_id(spark, documents, tmp_path, doc_id):
     want = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for t in sorted(texts, key=lambda t: (t is not None, (t or "").encode()))]
     assert [x.ids for x in got] == want and {x.doc_id for x in got} == {doc_id}
     assert [x.start for x in got] == np.cumsum([0, *map(len, want[:-1])]).tolist()
+
+
+def test_encoder_makes_no_objects_of_words(monkeypatch):
+    import cProfile
+    import pstats
+
+    from petrel.llm import token_files
+    from petrel.llm.queries import tokenizer_path
+
+    monkeypatch.setattr(token_files, "REMEMBERED", 3000)
+    r = random.Random(11)
+    word = lambda: "".join(r.choices("abcdeéñ", k=r.randint(2, 9))) + r.choice(["", "", ",", ".", "!?"])
+    texts = ["".join(word() + r.choice([" ", " ", "\n"]) for _ in range(100)) + "end" for _ in range(400)]
+    encoder, profile, got = token_files.Encoder(tokenizer_path()), cProfile.Profile(), []
+    for at in range(0, len(texts), 50):
+        profile.enable()
+        got += encoder.all(texts[at : at + 50], 0)
+        profile.disable()
+        assert len(encoder.known) < 3000 + 2 * 5100
+    assert got == [np.array([*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes() for t in texts]
+    assert pstats.Stats(profile).total_calls < 10_000  # of 40,400 words, most of them different
