@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, keep, pick, pieces, publish, scratch
+from .common import filesystem, keep, pick, pieces, publish, release, scratch
 
 MAGIC, END = b"PTOK0001", b"PTOKEND1"
 ENTRY = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("bytes", "<u4"), ("ids", "<u4")])
@@ -184,11 +184,16 @@ class Encoder:
         # a line feed before the first word, whose id is taken off again, makes a chunk of it too
         feed, nothing = (pa.scalar(x, pa.large_string()) for x in ("\n", ""))
         cut = pc.split_pattern(pc.binary_join_element_wise(feed, pc.replace_substring(column, "\n", " \n"), nothing), " ")
-        words = cut.flatten().dictionary_encode()
-        code = np.asarray(words.indices)
-        pool, size, odd = self._values(words.dictionary)
-        first = np.cumsum(size) - size
         edges = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(cut), 0)))])
+        words = cut.flatten()
+        del cut
+        words = words.dictionary_encode()
+        code, words = words.indices, words.dictionary
+        release()
+        pool, size, odd = self._values(words)
+        code = np.asarray(code)
+        first = np.cumsum(size) - size
+        del words
         out = []
         for low in range(0, len(column), TEXTS):
             words_at = edges[low : low + TEXTS + 1]
